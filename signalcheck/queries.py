@@ -551,7 +551,7 @@ def box_outliers(spark, folder):
 
 def _sql_corr(by: str | None) -> str:
     head, tail = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
-    cells = [(a, b, "1.0::DOUBLE" if a == b else f"round(corr({a}, {b}), 6)") for a in MEASURES for b in MEASURES]
+    cells = [(a, b, "max(1.0::DOUBLE)" if a == b else f"round(corr({a}, {b}), 6)") for a in MEASURES for b in MEASURES]
     return " UNION ALL ".join(f"SELECT {head}'{a}' AS x, '{b}' AS y, {r} AS corr FROM lineitem{tail}" for a, b, r in cells)
 
 
@@ -716,7 +716,7 @@ def evidence_topk(spark, folder):
 
 def _sql_entities(value: str) -> str:
     for entity, character in evidence.ENTITIES.items():
-        value = f"replace({value}, '{entity}', '{character}')"
+        value = "replace({}, '{}', '{}')".format(value, entity, character.replace("'", "''"))
     return value
 
 
