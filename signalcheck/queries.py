@@ -45,6 +45,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with long texts, spread over all cores."""
+    return posts.spread(table(spark, folder, name))
+
+
 def r6(column: Column) -> Column:
     return F.round(column, 6)
 
@@ -110,7 +115,7 @@ checked AS (
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return wide(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
 
 
 def tokens_of(value: str = "text") -> Column:
@@ -118,7 +123,7 @@ def tokens_of(value: str = "text") -> Column:
 
 
 def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "lang", "n_chars", tokens_of().alias("tokens"))
+    return wide(spark, folder, "documents").select("doc_id", "lang", "n_chars", tokens_of().alias("tokens"))
 
 
 def stated_verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +134,7 @@ def stated_verdicts(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("lang") == "en", "Unclear")
         .otherwise("bogus")
     )
-    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    rows = wide(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     return rows.select(F.lower("text").alias("claim"), verdict.alias("verdict"))
 
 
@@ -145,7 +150,7 @@ def embedding_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_features(spark: SparkSession, folder: str, max_terms: int = features.MAX_TERMS) -> dict[str, DataFrame]:
     """Term counts and a two-number size vector per document, both as ML vectors."""
-    tokens = document_tokens(spark, folder)
+    tokens = materialize(document_tokens(spark, folder), "document-tokens")
     model = features.fit_count_vectors(tokens, "tokens", max_terms)
     size = F.array(F.col("n_chars").cast("double"), F.size("tokens").cast("double"))
     return {
@@ -260,23 +265,23 @@ def parse_suffix_number(spark, folder):
 @query("SELECT doc_id, lower(text) AS text, lower(lang) AS lang, lower(source) AS source FROM documents")
 def lower_columns(spark, folder):
     names = ["text", "lang", "source"]
-    return text.lower_columns(table(spark, folder, "documents").select("doc_id", *names), names)
+    return text.lower_columns(wide(spark, folder, "documents").select("doc_id", *names), names)
 
 
 @query(f"SELECT page_id, regexp_replace(concat('x ', url, ' y'), '{text.URL_PATTERN}', '', 'g') AS stripped FROM pages")
 def strip_urls(spark, folder):
     inside = F.concat(F.lit("x "), F.col("url"), F.lit(" y"))
-    return table(spark, folder, "pages").select("page_id", text.strip_urls(inside).alias("stripped"))
+    return wide(spark, folder, "pages").select("page_id", text.strip_urls(inside).alias("stripped"))
 
 
 @query(f"SELECT page_id, regexp_replace(html, '{text.TAG_PATTERN}', '', 'g') AS stripped FROM pages")
 def strip_html(spark, folder):
-    return table(spark, folder, "pages").select("page_id", text.strip_tags(F.col("html")).alias("stripped"))
+    return wide(spark, folder, "pages").select("page_id", text.strip_tags(F.col("html")).alias("stripped"))
 
 
 @query(f"SELECT doc_id, {sql_clean('lower(text)')} AS cleaned FROM documents")
 def clean_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
+    return wide(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
 
 
 @query(
@@ -367,7 +372,7 @@ def term_counts(spark, folder):
     SELECT doc_id, term, round(raw / length, 6) AS weight FROM raw JOIN lengths USING (doc_id)"""
 )
 def tfidf_weights(spark, folder):
-    counts = features.term_counts(document_tokens(spark, folder), "doc_id", "tokens")
+    counts = materialize(features.term_counts(document_tokens(spark, folder), "doc_id", "tokens"), "term-counts")
     return features.tfidf(counts, "doc_id").select("doc_id", "term", r6(F.col("weight")).alias("weight"))
 
 
@@ -383,7 +388,7 @@ def dtm_vectors(spark, folder):
 
 @query()
 def embed_batch(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
+    rows = wide(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
     embedded = scoring.embed(rows, "cleaned", "embedding", scoring.hashed_words_embedder())
     return embedded.select("doc_id", "embedding")
 
@@ -427,7 +432,7 @@ def _sql_hits(words) -> str:
     FROM bal"""
 )
 def sentiment_lexicon(spark, folder):
-    scored = table(spark, folder, "documents").select("doc_id", scoring.sentiment_by_words(F.col("text")).alias("scores"))
+    scored = wide(spark, folder, "documents").select("doc_id", scoring.sentiment_by_words(F.col("text")).alias("scores"))
     label, score = scoring.top_score(F.col("scores"))
     return scored.select("doc_id", label.alias("label"), r6(score).alias("score"))
 
@@ -447,14 +452,14 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 
 @query(f"WITH {SQL_EMOTIONS} SELECT doc_id, label, round(score, 6) AS score, place FROM placed")
 def emotion_lexicon(spark, folder):
-    scored = table(spark, folder, "documents").select("doc_id", scoring.emotions_by_words(F.col("text")).alias("scores"))
-    rows = scored.select("doc_id", F.posexplode("scores").alias("pos", "s"))
+    scored = wide(spark, folder, "documents").select("doc_id", scoring.emotions_by_words(F.col("text")).alias("scores"))
+    rows = scored.select("doc_id", F.posexplode_outer("scores").alias("pos", "s"))
     return rows.select("doc_id", "s.label", r6(F.col("s.score")).alias("score"), (F.col("pos") + 1).cast("bigint").alias("place"))
 
 
 @query(f"WITH {SQL_EMOTIONS} SELECT doc_id, label, round(score, 6) AS score FROM placed WHERE place = 1")
 def top_score_fields(spark, folder):
-    scored = table(spark, folder, "documents").select("doc_id", scoring.emotions_by_words(F.col("text")).alias("scores"))
+    scored = wide(spark, folder, "documents").select("doc_id", scoring.emotions_by_words(F.col("text")).alias("scores"))
     label, score = scoring.top_score(F.col("scores"))
     return scored.select("doc_id", label.alias("label"), r6(score).alias("score"))
 
@@ -470,7 +475,7 @@ def _length_scorer():
         FROM documents"""
 )
 def score_with_model(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = wide(spark, folder, "documents").select("doc_id", "text")
     scored = scoring.score_with_model(rows, "text", "scores", _length_scorer)
     return scored.select("doc_id", scoring.top_score(F.col("scores"))[0].alias("label"))
 
@@ -659,7 +664,7 @@ def autoencoder_anomaly(spark, folder):
 @query()
 def classifier_vote(spark, folder):
     counts = document_features(spark, folder, autoencoder.MAX_WIDTH)["dtm"]
-    labels = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("label_text"))
+    labels = wide(spark, folder, "documents").select("doc_id", F.col("lang").alias("label_text"))
     return vote.vote_anomaly(counts.join(labels, "doc_id"), "doc_id")
 
 
@@ -679,8 +684,9 @@ flags AS (
 
 
 def document_flags(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = wide(spark, folder, "documents")
     sizes = documents.select("doc_id", "n_chars", F.size(evidence.terms_of(F.col("text"))).alias("n_terms"))
+    sizes = materialize(sizes, "document-sizes")
     rare = anomaly.duplicate_noise(document_tokens(spark, folder), "doc_id", anomaly.bag_of_terms(F.col("tokens")))
     flags = {
         "long_text": flag_above_quantile(sizes, "n_chars"),
@@ -710,7 +716,7 @@ def suspects(spark, folder):
 
 @query(f"WITH {SQL_EVIDENCE} SELECT claim, doc_id, shared, round(shared / n, 6) AS share, rank FROM ranked WHERE rank <= 3")
 def evidence_topk(spark, folder):
-    ranked = evidence.rank_evidence(user_claims(spark, folder), table(spark, folder, "documents"), "doc_id", "text")
+    ranked = evidence.rank_evidence(user_claims(spark, folder), wide(spark, folder, "documents"), "doc_id", "text")
     return ranked.withColumns({"share": r6(F.col("share")), "rank": F.col("rank").cast("bigint")})
 
 
@@ -725,7 +731,7 @@ def _sql_entities(value: str) -> str:
           lambda b: {_sql_entities("regexp_replace(b, '(?s)<.*?>', '', 'g')")}), ' ') AS found FROM pages"""
 )
 def html_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", evidence.result_blocks(F.col("html")).alias("found"))
+    return wide(spark, folder, "pages").select("page_id", evidence.result_blocks(F.col("html")).alias("found"))
 
 
 @query(
@@ -735,7 +741,7 @@ def html_text(spark, folder):
     FROM claims LEFT JOIN best USING (claim)"""
 )
 def build_prompt(spark, folder):
-    claims, documents = user_claims(spark, folder).select("claim").distinct(), table(spark, folder, "documents")
+    claims, documents = user_claims(spark, folder).select("claim").distinct(), wide(spark, folder, "documents")
     ranked = evidence.rank_evidence(claims, documents, "doc_id", "text")
     found = claims.join(evidence.join_evidence(ranked, documents, "doc_id", "text"), "claim", "left")
     return found.select("claim", verify.build_prompt(F.col("claim"), F.col("evidence")).alias("prompt"))
@@ -743,7 +749,7 @@ def build_prompt(spark, folder):
 
 @query(f"WITH {SQL_EVIDENCE}, {SQL_CHECKED} SELECT claim, verdict FROM checked")
 def verify_claims(spark, folder):
-    return verify.check_by_overlap(user_claims(spark, folder), table(spark, folder, "documents"), "doc_id", "text")
+    return verify.check_by_overlap(user_claims(spark, folder), wide(spark, folder, "documents"), "doc_id", "text")
 
 
 def _evidence_reader():
@@ -760,7 +766,7 @@ def _evidence_reader():
     SELECT claim, CASE WHEN claim IN (SELECT claim FROM ranked) THEN 'True' ELSE 'Unclear' END AS verdict FROM claims"""
 )
 def verify_with_model(spark, folder):
-    return verify.check_with_model(user_claims(spark, folder), table(spark, folder, "documents"), "doc_id", "text", _evidence_reader)
+    return verify.check_with_model(user_claims(spark, folder), wide(spark, folder, "documents"), "doc_id", "text", _evidence_reader)
 
 
 @query(
@@ -777,7 +783,7 @@ def normalize_verdict(spark, folder):
     SELECT conv_id, turn, verdict FROM conversations c JOIN checked ON c.text = checked.claim WHERE role = 'user'"""
 )
 def incremental_verify(spark, folder):
-    claims, documents = user_claims(spark, folder), table(spark, folder, "documents")
+    claims, documents = user_claims(spark, folder), wide(spark, folder, "documents")
     rows = claims.withColumn("row", F.concat_ws("-", "conv_id", "turn"))
     path = new_table_path(spark, "verdicts")
 
@@ -805,12 +811,12 @@ def map_verdict_label(spark, folder):
 
 @query(f"WITH {SQL_VERDICTS} SELECT doc_id, n_chars, verdict FROM documents JOIN verdicts ON lower(text) = claim")
 def join_verdict_features(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "n_chars", F.lower("text").alias("claim"))
+    rows = wide(spark, folder, "documents").select("doc_id", "n_chars", F.lower("text").alias("claim"))
     return verify.attach_verdicts(rows, stated_verdicts(spark, folder), "doc_id", "inner").select("doc_id", "n_chars", "verdict")
 
 
 def document_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.lower("text").alias("claim"))
+    return wide(spark, folder, "documents").select("doc_id", F.lower("text").alias("claim"))
 
 
 @query(
@@ -840,7 +846,7 @@ def clip_features(spark, folder):
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Verified documents with term counts and hashed word vectors, cut to model width."""
-    documents = table(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
+    documents = wide(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
     embedded = scoring.embed(documents, "cleaned", "v", scoring.hashed_words_embedder())
     found = {
         "dtm": document_features(spark, folder, autoencoder.MAX_WIDTH)["dtm"],
@@ -904,5 +910,5 @@ def repetitive_documents(spark, folder):
     """The flagship: clean, tokenise, count, score, and cut at the exact 95th percentile."""
     counts = features.term_counts(document_tokens(spark, folder), "doc_id", "tokens")
     scored = counts.groupBy("doc_id").agg((F.max("n") / F.sum("n")).alias("repetition"))
-    flagged = flag_above_quantile(scored, "repetition").filter("is_anomaly")
+    flagged = flag_above_quantile(materialize(scored, "repetition"), "repetition").filter("is_anomaly")
     return flagged.select("doc_id", r6(F.col("repetition")).alias("repetition"))

@@ -55,6 +55,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows over all cores when a scan has fewer splits than that.
+
+    Text work costs far more than moving a small file; a large table has enough splits
+    of its own and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The first ``n`` rows by ``key``; Spark rows have no position of their own."""
     return df.orderBy(key).limit(n)
