@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +44,16 @@ def lookup(
     spread: Column,
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Join ``fact`` to ``dim`` (one row per ``key``), with hot keys cut into several tasks.
+    """Join ``fact`` to ``dim`` on ``key`` (and ``also``), with hot keys cut into several tasks.
 
     ``dim[weight]`` tells how many fact rows a key has. A hot key gets one salt per
     ``rows_per_task`` rows: its dim row is repeated once per salt and its fact rows are
     dealt over the salts by the hash of ``spread``. Other keys keep salt 0.
     """
-    hot = F.broadcast(hot_keys(dim, key, weight, rows_per_task))
+    weights = dim.select(key, weight).distinct() if also else dim
+    hot = F.broadcast(hot_keys(weights, key, weight, rows_per_task))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = fact.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
     right = (
@@ -58,7 +62,7 @@ def lookup(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [key, *also, "_salt"], how).drop("_salt")
 
 
 def rows_without(rows: DataFrame, keys: DataFrame, key: str, weight: str) -> DataFrame:
