@@ -97,12 +97,11 @@ def test_csv_keeps_line_breaks_quotes_and_spaces(spark, tmp_path):
     assert sorted(map(tuple, posts.read_csv(spark, str(tmp_path / "csv"), df.schema).collect())) == rows
 
 
-@pytest.mark.parametrize("tfidf", ["counts", "idf"])
-def test_whole_run(spark, tmp_path, tfidf):
+def test_whole_run(spark, tmp_path):
     words = "flood water town rescue quake fire smoke road bridge people".split()
     rows = []
     for i in range(120):
-        body = " ".join(words[(i * j) % 10] for j in range(1, 9))
+        body = "comet zebra" if i == 77 else " ".join(words[(i * j) % 10] for j in range(1, 9))
         kind = ("Flood", "Quake")[i % 2]
         rows.append((f"N{i % 5}", f"u{i % 7}", None, i % 3 == 0, f"{body} {kind} http://x.y/{i}", i, 2 * i, f"{i}K", 10 * i, "#a", "l", i, kind))
     table = spark.createDataFrame(rows, posts.POST_SCHEMA)
@@ -110,13 +109,14 @@ def test_whole_run(spark, tmp_path, tfidf):
     posts.write_csv(table, path)
     known = spark.createDataFrame([(1, "flood water town rescue quake fire smoke road bridge")], "item_id bigint, text string")
     config = pipeline.PipelineConfig(
-        verdict_path=str(tmp_path / "verdicts"), data_source=path, evidence=known, encoding_dim=8, epochs=2, tfidf=tfidf
+        verdict_path=str(tmp_path / "verdicts"), data_source=path, evidence=known, encoding_dim=8, epochs=2, tfidf="idf"
     )
     result = pipeline.run_from_csv(spark, config)
     detectors = {r["detector"] for r in result["flags"].select("detector").distinct().collect()}
     assert detectors <= {f"{d}_{f}" for d in ("kmeans", "dbscan", "hybrid_dtsvmnb", "autoencoder") for f in ("tfidf", "dtm", "bert")}
     n = result["suspects"].count()
     assert 0 < n <= 120
+    assert result["suspects"].filter("`Tweet ID` = 77").count() == 1
     checked = result["verification"]
     assert checked.count() == n
     assert checked.filter("verdict IS NULL").count() == 0
