@@ -33,7 +33,7 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 )
-SHARE = 0.75
+SHARE = 0.8
 NEIGHBOURS = 2
 
 
