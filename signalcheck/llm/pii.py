@@ -71,13 +71,14 @@ def valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end, value>> by kind as listed, then start."""
     may = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.contains("."), "card": F.lit(True)}
-    parts = []
-    for kind in KINDS:
-        good = F.filter(matches(text, PATTERNS[kind]), lambda s, k=kind: valid(k, s["value"]))
-        named = F.transform(good, lambda s, k=kind: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-        none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-        parts.append(F.when(may[kind], named).otherwise(none))
-    return F.concat(*parts)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+
+    def of_kind(kind: str) -> Column:
+        good = F.filter(matches(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
+        named = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+        return F.when(may[kind], F.transform(good, named)).otherwise(none)
+
+    return F.concat(*map(of_kind, KINDS))
 
 
 def joined(spans: Column) -> Column:
