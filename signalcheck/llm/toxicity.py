@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,20 +38,29 @@ def distinct_words(text: str | None) -> set[str]:
     return set(WORDS.findall((text or "").lower()))
 
 
-def votes(texts: list[str], found: list[set[str]], y: np.ndarray) -> np.ndarray:
+def slots_of(words: set[str], memory: Bounded) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed terms of a text's distinct words, and how many of these words have each."""
+    flat = [s for w in words for s in memory[w]]
+    at, counts = np.unique(np.array(flat, np.int32), return_counts=True)
+    return at, counts.astype(np.float32)
+
+
+def votes(texts: list[str], found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """A row of votes per text: 1 toxic, -1 clean, 0 abstains."""
-    toxic, clean = Counter(), Counter()
+    toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for own, target in zip(found, y, strict=True):
-        (toxic if target else clean).update(own)
+        (toxic if target else clean)[own] += 1
     share = max(y.sum(), 1) / max((1 - y).sum(), 1)
-    mined = {t: zlib.crc32(t.encode()) % LEXICONS for t, n in toxic.items() if n >= 3 and n > 20 * share * (clean[t] + 0.2)}
+    mined = (toxic >= 3) & (toxic > 20 * share * (clean + 0.2))
+    seeds = np.zeros(1 << BITS, bool)
+    seeds[[slot(w) for w in SEED_WORDS]] = True
     table = np.zeros((len(texts), LEXICONS + 4))
     for i, (text, own) in enumerate(zip(texts, found, strict=True)):
-        table[i, [mined[t] for t in own if t in mined]] = 1
-        table[i, LEXICONS] = 1 if own & SEED_WORDS else 0
-        hits = sum(t in mined for t in own)
-        table[i, LEXICONS + 1] = 1 if hits >= 3 else 0
-        table[i, LEXICONS + 2] = -1 if hits == 0 else 0
+        hits = own[mined[own]]
+        table[i, hits % LEXICONS] = 1
+        table[i, LEXICONS] = 1 if seeds[own].any() else 0
+        table[i, LEXICONS + 1] = 1 if len(hits) >= 3 else 0
+        table[i, LEXICONS + 2] = -1 if len(hits) == 0 else 0
         table[i, LEXICONS + 3] = -1 if sum(text.count(c) for c in "#%&$|") * 10 > len(text) else 0
     return table
 
@@ -79,14 +87,13 @@ def label_model(table: np.ndarray, prior: float, start: np.ndarray, steps: int =
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
     def fit(texts, y):
-        words = [distinct_words(t) for t in texts]
-        found = [{t for w in own for t in terms(w)} for own in words]
+        memory = Bounded(lambda w: [slot(t) for t in terms(w)], 100_000)
+        found = [slots_of(distinct_words(t), memory) for t in texts]
         prior = float(np.clip(y.mean(), 0.01, 0.99))
-        posterior = label_model(votes(texts, found, y), prior, y)
+        at = [a for a, _ in found]
+        posterior = label_model(votes(texts, at, y), prior, y)
         posterior = np.where(np.abs(posterior - 0.5) < 0.3, y, posterior)  # the model is undecided: the label stays
-        slots = [np.unique([slot(t) for w in own for t in terms(w)], return_counts=True) for own in words]
-        at = [np.asarray(a, np.int64) for a, _ in slots]
-        return ftrl(at, [np.asarray(c, float) for _, c in slots], posterior, 1 << BITS, alpha=0.2, l1=1.0, l2=0.1, passes=4)
+        return ftrl(at, [c for _, c in found], posterior, 1 << BITS, alpha=0.2, l1=1.0, l2=0.1, passes=4)
 
     return fit_in_one_task(training_sample(docs, labels, "toxic", 3, 1, rows), fit)
 
@@ -95,7 +102,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, keep: list[str] | None
     weights = weights if len(weights) else np.append(np.zeros(1 << BITS), -3.0)
 
     def compute(texts):
-        worth = Bounded(lambda w: float(sum(weights[slot(t)] for t in terms(w))))
+        worth = Bounded(lambda w: float(sum(weights[slot(t)] for t in terms(w))), 200_000)
         scores = []
         for text in texts:
             margin = math.fsum(worth[w] for w in distinct_words(text)) + float(weights[-1])
