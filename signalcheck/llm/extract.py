@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 DOM nodes carry a hidden state, content or not. Node factors score features of a node, pair factors its state given
-its parent's; both are counted on labelled pages, where an article element marks the content. Sum-product messages
+its parent's and the kind of element; both are counted on labelled pages, where an article element marks the content. Sum-product messages
 go from the leaves to the root and back; a text whose node's content marginal is over one half is kept.
 
 A null or empty page gives an empty text, as does one without content. Pages are read one by one, so repeated rows
@@ -35,6 +35,7 @@ BLOCK = frozenset(
 HIDDEN = frozenset("head script style noscript template iframe textarea svg nav footer aside form button select header menu dialog".split())
 BOILER = re.compile(r"\b(?:ad|ads|advert\w*|banner|sidebar|cookie\w*|notice|comments?|menu|nav\w*|footer|header|promo|related|share|social|breadcrumbs?|newsletter)\b", re.I)
 MAIN = frozenset(("article", "main"))
+KINDS = ("main", "hidden", "li", "other")
 
 
 class Page:
@@ -102,7 +103,7 @@ class Page:
 
 
 def count_factors(pages: list[str]) -> dict:
-    nodes, pairs = {}, np.full((2, 2), 0.5)
+    nodes, pairs = {}, {k: np.array([[0.5, 0.01], [0.5, 0.5]]) for k in KINDS}
     for source in pages:
         page = Page(source)
         state = page.labels()
@@ -111,16 +112,16 @@ def count_factors(pages: list[str]) -> dict:
         for i, f in enumerate(page.features()):
             nodes.setdefault(f, [0.1, 0.1])[state[i]] += 1
             if i:
-                pairs[state[page.parent[i]], state[i]] += 1
-    return {"nodes": nodes, "pairs": (pairs / pairs.sum(axis=1, keepdims=True)).tolist()}
+                pairs[f.split(":")[0]][state[page.parent[i]], state[i]] += 1
+    return {"nodes": nodes, "pairs": {k: (p / p.sum(axis=1, keepdims=True)).tolist() for k, p in pairs.items()}}
 
 
 def node_factor(model: dict, feature: str) -> tuple[float, float]:
     kind, clue, _ = feature.split(":")
     if kind == "hidden" or clue:
-        return 0.999, 0.001
+        return 1 - 1e-9, 1e-9
     if kind == "main":
-        return 0.001, 0.999
+        return 1e-9, 1 - 1e-9
     found = model["nodes"].get(feature)
     total = sum(found) if found else 0
     return ((found[0] + 1) / (total + 2), (found[1] + 1) / (total + 2)) if found else (0.5, 0.5)
@@ -128,12 +129,14 @@ def node_factor(model: dict, feature: str) -> tuple[float, float]:
 
 def marginals(page: Page, model: dict) -> list[float]:
     """Content marginals by messages up to the root and down again; parents come before children."""
-    parent, pair = page.parent, model["pairs"]
-    local = [node_factor(model, f) for f in page.features()]
+    parent, features = page.parent, page.features()
+    pairs = [model["pairs"][f.split(":")[0]] for f in features]
+    local = [node_factor(model, f) for f in features]
     up = [list(x) for x in local]
     sent: list[tuple[float, float]] = [(1.0, 1.0)] * len(parent)
     for i in range(len(parent) - 1, 0, -1):
         a, b = up[i]
+        pair = pairs[i]
         m0, m1 = pair[0][0] * a + pair[0][1] * b, pair[1][0] * a + pair[1][1] * b
         total = m0 + m1
         sent[i] = (m0 / total, m1 / total)
@@ -147,6 +150,7 @@ def marginals(page: Page, model: dict) -> list[float]:
     for i in range(1, len(parent)):
         p0, p1 = belief[parent[i]]
         p0, p1 = p0 / max(sent[i][0] ** 0.1, 1e-12), p1 / max(sent[i][1] ** 0.1, 1e-12)
+        pair = pairs[i]
         b0, b1 = up[i][0] * (p0 * pair[0][0] + p1 * pair[1][0]), up[i][1] * (p0 * pair[0][1] + p1 * pair[1][1])
         total = b0 + b1
         belief[i] = (b0 / total, b1 / total)
@@ -179,7 +183,7 @@ def fit_extractor(pages: DataFrame, rows: int = TRAIN_PAGES) -> dict:
         return pd.DataFrame({"m": [pickle.dumps(count_factors(frame["html"].tolist()))]})
 
     found = picked.groupBy(F.lit(0).alias("g")).applyInPandas(train, "m binary").collect()
-    return pickle.loads(bytes(found[0][0])) if found else {"nodes": {}, "pairs": [[0.9, 0.1], [0.1, 0.9]]}
+    return pickle.loads(bytes(found[0][0])) if found else count_factors([])
 
 
 def extract_text(pages: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
