@@ -122,10 +122,10 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
         .groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     )
     wanted = both.select("term").distinct()
-    # Only words that are wanted leave the scan; without any, nothing is read.
+    # Words are counted before they are shuffled, so a common word costs one row per task.
     corpus = (
         docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-        .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+        .groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     )
     total = docs.agg(F.count("*").cast("double").alias("n"))
     rated = both.join(entities, "entity").join(corpus, "term").join(F.broadcast(total))  # total is one row
