@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalcheck.llm.common import append_columns, table
@@ -143,12 +143,9 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(
-        placed.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select("fp", "component_id"), "classes"
-    )
-    hot = prints.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    named = named.join(hot.withColumn("shared", F.lit(True)), "fp", "left")
-    salts = 32  # rows of one fingerprint may be a third of the table
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = materialize(placed.join(least, "root").select("fp", "component_id"), "classes")
+    salts = 8  # rows of one fingerprint may be a third of the table
     left = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     right = named.withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
