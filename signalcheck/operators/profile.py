@@ -135,16 +135,26 @@ def box_outliers(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
-    """Pearson correlation of every column pair over the rows where both are filled, both orders."""
+    """Pearson correlation of every column pair over the rows where both are filled, both orders.
+
+    NULL where a column is constant or empty there.
+    """
     pairs = list(combinations(columns, 2))
-    stats = [F.corr(_valid(a), _valid(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+
+    def pearson(a: str, b: str):
+        filled = _valid(a).isNotNull() & _valid(b).isNotNull()
+        x, y = F.when(filled, _valid(a)).cast("double"), F.when(filled, _valid(b)).cast("double")
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    stats = [pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    stats += [F.when(F.stddev_pop(_valid(c)) > 0, 1.0).alias(f"own{i}") for i, c in enumerate(columns)]
     table = df.groupBy(by).agg(*stats) if by else df.agg(*stats)
     cells = []
     for i, (a, b) in enumerate(pairs):
         for x, y in ((a, b), (b, a)):
             cells.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("corr")))
-    for c in columns:
-        cells.append(F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("corr")))
+    for i, c in enumerate(columns):
+        cells.append(F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"own{i}").alias("corr")))
     return table.select(*([by] if by else []), F.inline(F.array(*cells)))
 
 
