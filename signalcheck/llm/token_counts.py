@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 _counters: dict[str, tuple] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {b: chr(b) for b in plain}
@@ -36,7 +36,7 @@ def counter(path: str) -> tuple:
         with open(path) as file:
             special = [t["content"] for t in json.load(file)["added_tokens"]]
         model = Tokenizer.from_file(path).model
-        letters = _byte_letters()
+        letters = byte_letters()
         memory = Bounded(lambda piece: len(model.tokenize("".join(letters[b] for b in piece.encode()))))
         split = regex.compile("|".join(map(regex.escape, special))) if special else None
         _counters[path] = (split, regex.compile(public_tokenizers.PATTERN), memory)
