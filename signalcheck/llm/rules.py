@@ -32,6 +32,8 @@ SYMBOLS = b"#*$%&|<>"
 SCRIPTS = (("latin", "A-Za-zÀ-ɏ"), ("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"), ("arabic", "؀-ۿ"), ("hebrew", "֐-׿"),
            ("devanagari", "ऀ-ॿ"), ("kana", "぀-ヿ"), ("han", "一-鿿"), ("hangul", "가-힯"))
 _script_patterns = [(name, re.compile(f"[{span}]+")) for name, span in SCRIPTS]
+ASCII = re.compile("[\\x00-\\x7f]+")
+NO_LETTERS = bytes(c for c in range(256) if not chr(c).isalpha() or c > 127)
 _models: dict[str, Bounded] = {}
 
 
@@ -42,7 +44,7 @@ def pieces_of(path: str) -> Bounded:
 
         def measure(word: bytes) -> tuple[bytes, int]:
             ids = model.encode(word.decode("utf-8", "replace"))
-            return np.array(ids, "<i4").tobytes(), sum(i in fallback for i in ids)
+            return np.array(ids, "<i4").tobytes(), 0 if fallback.isdisjoint(ids) else sum(i in fallback for i in ids)
 
         _models[path] = Bounded(measure)
     return _models[path]
@@ -77,10 +79,14 @@ def duplicate_lines(text: str) -> int:
     return len(worded) - len(set(worded))
 
 
-def script(text: str) -> str:
-    if text.isascii():
+def script(text: str, data: bytes) -> str:
+    """The script of most letters; ``data`` is the text in UTF-8."""
+    if len(text) == len(data):
         return "latin"
-    return max(_script_patterns, key=lambda p: sum(map(len, p[1].findall(text))))[0]
+    rest = ASCII.sub("", text)
+    counts = {name: sum(map(len, pattern.findall(rest))) for name, pattern in _script_patterns}
+    counts["latin"] += len(data.translate(None, NO_LETTERS))
+    return max(counts, key=counts.get)
 
 
 def measure(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
@@ -94,10 +100,11 @@ def measure(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFr
             chars = len(text) - sum(map(data.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
             found = [memory[w] for w in words]
             ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-            share = np.bincount(ids)[np.unique(ids)] / max(len(ids), 1) if len(ids) else np.ones(1)
+            times = np.bincount(ids)
+            share = times[times > 0] / len(ids) if len(ids) else np.ones(1)
             rows.append((
                 len(words), chars, sum(data.count(bytes([s])) for s in SYMBOLS), duplicate_lines(text), repeated_words(words),
-                script(text), chars / max(len(ids), 1), sum(f[1] for f in found) / max(len(ids), 1),
+                script(text, data), chars / max(len(ids), 1), sum(f[1] for f in found) / max(len(ids), 1),
                 float(-(share * np.log2(share)).sum()) / np.log2(max(len(ids), 2)),
             ))
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 9
