@@ -26,6 +26,7 @@ from signalcheck.session import materialize
 RADIUS = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 16
+GROUP = 50_000
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -88,27 +89,62 @@ def stars(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def block_keys(fp) -> list:
-    """The twenty keys of a fingerprint: which three blocks, and their bits."""
-    cuts = np.cumsum((0, *BLOCKS))
-    keys = []
-    for i, three in enumerate(combinations(range(len(BLOCKS)), 3)):
-        mask = sum(((1 << BLOCKS[b]) - 1) << int(cuts[b]) for b in three)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(i).alias("i"), fp.bitwiseAND(F.lit(mask)).alias("bits")))
-    return keys
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Star edges (a, b), a < b, among distinct fingerprints; single keys never reach Python."""
-    keyed = nodes.select("fp", F.explode(F.array(*block_keys(F.col("fp")))).alias("key"))
+def block_masks() -> list[int]:
+    """The twenty bit masks that fix three of the six blocks."""
+    cuts = np.cumsum((0, *BLOCKS)).tolist()
+    blocks = [((1 << size) - 1) << cut for size, cut in zip(BLOCKS, cuts, strict=False)]
+    return [signed(sum(three)) for three in combinations(blocks, 3)]
+
+
+def narrower(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that fix, next to the bits of ``mask``, one of radius + 1 parts of its free bits.
+
+    Two fingerprints within the radius that agree on ``mask`` agree on at least one of these too.
+    """
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [signed(mask % (1 << 64) | sum(1 << int(b) for b in part)) for part in np.array_split(free, radius + 1)]
+
+
+def with_masks(rows: DataFrame, masks) -> DataFrame:
+    """(fp, key) for every mask of a row; a key is a mask and the fingerprint's bits under it."""
+    keys = F.transform(masks, lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("bits")))
+    return rows.select("fp", F.explode(keys).alias("key"))
+
+
+def stars_by_key(keyed: DataFrame) -> DataFrame:
     grouped = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def compute(groups):
         return [[[{"a": a, "b": b} for a, b in stars(np.array(g, np.int64))] for g in groups]]
 
     found = append_columns(grouped, ["fps"], "edges array<struct<a:long,b:long>>", compute, [])
-    return found.select(F.explode("edges").alias("e")).select("e.a", "e.b").distinct()
+    return found.select(F.explode("edges").alias("e")).select("e.a", "e.b")
+
+
+def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
+    """Star edges (a, b), a < b, among distinct fingerprints; single keys never reach Python.
+
+    A key of more than ``group`` fingerprints is split by narrower masks, twice if need be. Then at least 45 bits are fixed,
+    so no key can hold more than 2**19 distinct fingerprints.
+    """
+    masks = block_masks()
+    keyed = with_masks(nodes, F.array(*map(F.lit, masks)))
+    found = []
+    for _ in range(2):
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group)
+        large = materialize(sizes.select("key"), "large-keys")
+        if large.isEmpty():
+            break
+        found.append(stars_by_key(keyed.join(large, "key", "left_anti")))
+        inner = {m: narrower(m) for m in masks}
+        named = F.create_map(*(x for m, parts in inner.items() for x in (F.lit(m), F.array(*map(F.lit, parts)))))
+        keyed = with_masks(keyed.join(large, "key", "left_semi"), named[F.col("key.mask")]).distinct()
+        masks = sorted({m for parts in inner.values() for m in parts})
+    return functools.reduce(DataFrame.union, found, stars_by_key(keyed)).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -137,14 +173,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    prints = materialize(add_fingerprints(docs.select("doc_id", "text"), size, ["doc_id"]), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """fp, root (one fingerprint of its component) and component_id of every distinct fingerprint."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(placed.join(least, "root").select("fp", "component_id"), "classes")
+    return materialize(placed.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
+def own_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    return materialize(add_fingerprints(docs.select("doc_id", "text"), size, ["doc_id"]), "fingerprints")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    prints = own_fingerprints(docs, size)
+    named = fingerprint_classes(prints)
     salts = 8  # rows of one fingerprint may be a third of the table
     left = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     right = named.withColumn(
@@ -153,11 +198,19 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return left.join(right, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (rows with a null doc_id stay only where no other does)."""
-    classes = near_duplicates(docs).groupBy("component_id").agg(F.count("*").alias("n")).filter(F.col("component_id").isNotNull())
-    kept = docs.join(classes.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, any one where all its doc_ids are null.
+
+    Equal rows collapse; rows that share a doc_id but not a text stay apart.
+    """
+    named = fingerprint_classes(own_fingerprints(docs, size))
+    first = named.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    loose = append_columns(
+        docs.filter(F.col("doc_id").isNull()), ["text"], "_fp long", lambda texts: [[fingerprint(t, size) for t in texts]]
+    )
+    nameless = named.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    return kept.unionByName(loose.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -200,6 +200,22 @@ def test_stars_and_components_are_brute_force(spark):
     nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
     found = {p: p for p in prints} | {r.node: r.root for r in simhash.components(simhash.links(nodes)).collect()}
     assert classes(found) == classes(want)
+    split = simhash.links(nodes, group=1)  # every shared key is split by narrower masks
+    found = {p: p for p in prints} | {r.node: r.root for r in simhash.components(split).collect()}
+    assert classes(found) == classes(want)
+
+
+def test_narrower_masks_bound_a_key():
+    for mask in simhash.block_masks():
+        for inner in simhash.narrower(mask):
+            for last in simhash.narrower(inner):
+                assert 64 - (last % 2**64).bit_count() <= 19 and last & mask == mask
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "x y z w"), (2, None), (3, ""), (5, "k l m n"), (5, "k l m n"), (6, "K l m n")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "a b c d"), (0, "x y z w"), (2, ""), (5, "k l m n")]
 
 
 def test_fingerprints_and_odd_rows(spark, odd):
@@ -247,6 +263,14 @@ def test_packing_is_a_round_trip(spark, folder, texts):
     assert len(bins) <= total / packing.CAPACITY + 2 + 0.01 * len(bins)
 
 
+def test_ids_of_plain_and_other_texts_are_the_library():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    library, ids_of = Tokenizer.from_file(path), packing.encoder(path)
+    odd = ["don't 'since ''s", "a<|endoftext|>b <|", "x'LL9_9 I'VE''RE 12''", "ÀÉ½² Straße ΣΑΣ", "ǅ İstanbul Ⱥ", "e\u0301 é", "中文 字", ""]
+    for text in odd + [f"{chr(c)}A{chr(c)} b" for c in (*range(0x20, 0x530), *range(0x2000, 0x2070))]:
+        assert ids_of(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_local_search_empties_bins():
     lengths = [6, 6, 4, 4, 3, 3, 2, 2]
     packed = packing.improve([[0, 4], [1, 5], [2, 3], [6], [7]], lengths, 10)
