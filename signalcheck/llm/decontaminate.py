@@ -102,6 +102,9 @@ class FMIndex:
         for back in range(1, width + 1):
             symbol = patterns[:, width - back]
             live = np.flatnonzero((back <= lengths) & (low < high))
+            unknown = symbol[live] >= len(self.before) - 1  # beyond all symbols of this shard
+            high[live[unknown]] = low[live[unknown]]
+            live = live[~unknown]
             s = symbol[live]
             low[live] = self.before[s] + self.rank(s, low[live])
             high[live] = self.before[s] + self.rank(s, high[live])

@@ -82,6 +82,11 @@ def test_decontamination_is_brute_force(spark, folder, texts):
     assert hits
 
 
+def test_shards_without_the_later_words_of_the_benchmark():
+    windows = decontaminate.Windows([(1, "a b c"), (2, " ".join(f"w{i}" for i in range(5_000)))])
+    assert decontaminate.find([[b"x", b"a", b"b", b"c"], []], windows)[0] == [(1, 4, windows.windows.index((1, 2, 3)))]
+
+
 def test_passages_are_cut_and_odd_rows_stay(spark, odd):
     windows = decontaminate.Windows([(1, "a b c d e f g h i j"), (2, None), (3, "me")])
     left = decontaminate.remove_passages(odd, windows)
