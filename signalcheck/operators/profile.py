@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalcheck.functions.columns import is_missing
 from signalcheck.operators.quantile import exact_quantiles
 
 BINS = 50
@@ -28,7 +29,8 @@ def _valid(name: str) -> Column:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    counts = df.agg(*[F.count_if(_q(c).isNull()).alias(c) for c in df.columns])
+    """Missing cells per column; NaN is missing too."""
+    counts = df.agg(*[F.count_if(is_missing(_q(c), kind)).alias(c) for c, kind in df.dtypes])
     cells = [F.struct(F.lit(c).alias("column_name"), _q(c).alias("n_null")) for c in df.columns]
     return counts.select(F.inline(F.array(*cells)))
 
@@ -158,8 +160,17 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: str | None = N
     return table.select(*([by] if by else []), F.inline(F.array(*cells)))
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
-    """Counts of each row value against the given column values, 0 where a pair never occurs."""
+def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence | None = None, most: int = 1_000) -> DataFrame:
+    """Counts of each row value against every column value found, 0 where a pair never occurs.
+
+    ``values`` names the columns instead, and then has to hold every value that is to be counted. Column names must be
+    known to the planner: more than ``most`` values are an error, not a silent cut.
+    """
+    if values is None:
+        found = df.select(columns).filter(F.col(columns).isNotNull()).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{columns} has more than {most} values; count by both columns instead")
+        values = sorted(r[0] for r in found)
     cells = [F.count_if(F.col(columns) == v).alias(f"{columns}_{v}") for v in values]
     return df.filter(F.col(rows).isNotNull()).groupBy(rows).agg(*cells)
 

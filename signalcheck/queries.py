@@ -28,7 +28,8 @@ ORACLE: dict[str, str] = {}
 
 RADIUS = 1.16
 LANGUAGES = ("de", "en", "es", "fr")
-MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+#: Every column of numbers of lineitem; the queries find them by type, the SQL names them.
+MEASURES = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def query(sql: str | None = None):
@@ -45,6 +46,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def measures(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    lines = table(spark, folder, "lineitem")
+    return lines, columns.numeric_columns(lines)
+
+
 def wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table with long texts, spread over all cores."""
     return posts.spread(table(spark, folder, name))
@@ -496,12 +502,12 @@ def _sql_each(names, body: str) -> str:
     _sql_each(
         MEASURES,
         """SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-             min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
-             round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM lineitem""",
+             min({c}) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50,
+             round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, max({c}) AS max FROM lineitem""",
     )
 )
 def describe_numeric(spark, folder):
-    stats = profile.describe(table(spark, folder, "lineitem"), MEASURES)
+    stats = profile.describe(*measures(spark, folder))
     return stats.withColumns({c: r6(F.col(c)) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
@@ -519,7 +525,7 @@ SQL_LONG_MEASURES = "long AS (" + _sql_each(MEASURES, "SELECT '{c}' AS column_na
     FROM grid LEFT JOIN found USING (column_name, bin)"""
 )
 def histogram_50(spark, folder):
-    bins = profile.histogram(table(spark, folder, "lineitem"), MEASURES)
+    bins = profile.histogram(*measures(spark, folder))
     return bins.withColumn("bin_start", r6(F.col("bin_start")))
 
 
@@ -562,13 +568,13 @@ def _sql_corr(by: str | None) -> str:
 
 @query(_sql_corr(None))
 def corr_matrix(spark, folder):
-    matrix = profile.correlation_matrix(table(spark, folder, "lineitem"), MEASURES)
+    matrix = profile.correlation_matrix(*measures(spark, folder))
     return matrix.withColumn("corr", r6(F.col("corr")))
 
 
 @query(_sql_corr("l_returnflag"))
 def corr_by_class(spark, folder):
-    matrix = profile.correlation_matrix(table(spark, folder, "lineitem"), MEASURES, "l_returnflag")
+    matrix = profile.correlation_matrix(*measures(spark, folder), "l_returnflag")
     return matrix.withColumn("corr", r6(F.col("corr")))
 
 
@@ -577,7 +583,7 @@ def corr_by_class(spark, folder):
        FROM lineitem GROUP BY l_returnflag"""
 )
 def crosstab(spark, folder):
-    return profile.crosstab(table(spark, folder, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
+    return profile.crosstab(table(spark, folder, "lineitem"), "l_returnflag", "l_linestatus")
 
 
 def _sql_pairs(by: str | None) -> str:
@@ -592,12 +598,12 @@ def _sql_pairs(by: str | None) -> str:
 
 @query(_sql_pairs(None))
 def pair_bins(spark, folder):
-    return profile.pair_bins(table(spark, folder, "lineitem"), MEASURES)
+    return profile.pair_bins(*measures(spark, folder))
 
 
 @query(_sql_pairs("l_returnflag"))
 def pair_bins_by_class(spark, folder):
-    return profile.pair_bins(table(spark, folder, "lineitem"), MEASURES, by="l_returnflag")
+    return profile.pair_bins(*measures(spark, folder), by="l_returnflag")
 
 
 # ---- Anomaly flags ----

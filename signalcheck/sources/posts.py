@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalcheck.functions.columns import is_missing
+
 # The columns of the post table, in file order.
 POST_SCHEMA = T.StructType(
     [
@@ -71,8 +73,8 @@ def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """One row per column: name, filled cells, type. One aggregate over the table."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    """One row per column: name, filled cells (neither NULL nor NaN), type. One aggregate over the table."""
+    counts = df.agg(*[F.count_if(~is_missing(F.col(f"`{c}`"), kind)).alias(c) for c, kind in df.dtypes])
     types = dict(df.dtypes)
     cells = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("non_null"), F.lit(types[c]).alias("dtype"))
