@@ -1,12 +1,12 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Protected entities are the values the base patterns find. Terms next to an entity are weighed by corpus
+Protected entities are the values the base patterns find. Terms in the texts of an entity are weighed by corpus
 co-occurrence: PMI(term, entity) over the information content of the entity is the share of the entity that the term
-discloses. Terms at or above the threshold, seen with the entity in enough different texts, are spans too: they are
-generalised to a placeholder, entities to their kind.
+discloses. Terms at or above the threshold, seen with the entity in enough different texts, are spans in every text
+that holds them, also without the entity: they are generalised to a placeholder, entities to their kind.
 
-A null text counts as empty. The spans of a row depend on its text and the corpus alone, so repeated rows agree; rows
-without a hit never enter a join. An empty table gives an empty result.
+A null text counts as empty. The spans of a row depend on its text and the corpus alone, so repeated rows agree. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalcheck.llm.common import table
+from signalcheck.plans.skew import broadcast_if_small
 from signalcheck.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -27,15 +28,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-TERM = r"[\p{L}\p{M}]{4,}+"
-REACH = 40
+LETTER = r"[\p{L}\p{M}]"
+#: Letters of scripts that put no space between a name and its neighbours.
+DENSE = r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Words of four letters or more, shorter ones with a capital, and of any length in scripts without capitals.
+TERM = rf"(?<!{LETTER})(?:{LETTER}{{4,}}+|[\p{{Lu}}\p{{Lt}}]{LETTER}{{0,2}}+|\p{{Lo}}{LETTER}{{0,2}}+)(?!{LETTER})"
 DISCLOSURE = 0.9
 SUPPORT = 3
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """(start, end, value) of all matches, in code points: the gaps between matches give the places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(hits.alias("h"), F.slice(gaps, 1, F.size(hits)).alias("g"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -86,72 +90,83 @@ def joined(spans: Column) -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and, for texts with one, a key and the text, written once."""
+    """doc_id, text, its key and base spans, written once."""
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
-    some = F.size("base") > 0
-    return materialize(
-        read.select("doc_id", "base", F.when(some, F.md5("text")).alias("key"), F.when(some, F.col("text")).alias("text")), "pii-base"
-    )
+    return materialize(read.withColumn("key", F.md5("text")), "pii-base")
+
+
+def windows(run: Column) -> Column:
+    """All parts of two to four characters of a run that is written without spaces."""
+    ends = F.sequence(F.lit(2), F.least(F.length(run), F.lit(4)))
+    return F.flatten(F.transform(ends, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substr(run, i, n)
+    )))
+
+
+def terms_of(text: Column, base: Column) -> Column:
+    """Different terms of a text, in lower case, without what its base spans hold."""
+    rest = F.aggregate(base, text, lambda acc, s: F.replace(acc, s["value"], F.lit(" ")))
+    words = F.regexp_extract_all(rest, F.lit(TERM), F.lit(0))
+    dense = F.when(rest.rlike(f"{DENSE}{{2}}"), F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(f"{DENSE}{{2,}}+"), F.lit(0)), windows)))
+    return F.array_distinct(F.transform(F.concat(words, F.coalesce(dense, F.array().cast("array<string>"))), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """key and term spans of the texts in which a term discloses an entity."""
-    texts = base.filter(F.col("key").isNotNull()).groupBy("key").agg(
+def disclosing_terms(base: DataFrame) -> DataFrame:
+    """The terms that disclose some entity, by counts over whole texts."""
+    texts = base.filter(F.size("base") > 0).groupBy("key").agg(
         F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")
     )
-    near = texts.select("key", "text", "copies", F.explode("base").alias("s")).select(
-        "key", "copies", F.lower("s.value").alias("entity"), F.col("s.start").alias("s0"), F.col("s.end").alias("s1"),
-        F.explode(F.array(
-            F.struct(F.greatest(F.col("s.start") - REACH, F.lit(0)).alias("from"), F.col("s.start").alias("to")),
-            F.struct(F.col("s.end").alias("from"), F.least(F.col("s.end") + REACH, F.length("text")).alias("to")),
-        )).alias("w"), "text",
-    )
-    near = near.withColumn("part", F.expr("substring(text, w.from + 1, w.to - w.from)")).withColumn("full", F.length("text"))
-    words = near.select("key", "copies", "entity", "s0", "s1", "w", "full", F.explode(matches(F.col("part"), TERM)).alias("m")).select(
-        "key", "copies", "entity", F.lower("m.value").alias("term"), (F.col("m.start") + F.col("w.from")).alias("start"),
-        (F.col("m.end") + F.col("w.from")).alias("end"),
-        # A term that the edge of the window may have cut is left out.
-        ((F.col("m.start") == 0) & (F.col("w.from") > 0) & (F.col("w.from") < F.col("s0"))
-         | (F.col("m.end") + F.col("w.from") == F.col("w.to")) & (F.col("w.to") > F.col("s1")) & (F.col("w.to") < F.col("full"))).alias("cut"),
-    ).filter(~F.col("cut"))
-    words = materialize(words.drop("cut"), "pii-terms")
-    per_text = words.select("key", "copies", "entity", "term").distinct()
-    both = per_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both")).filter(F.col("texts") >= SUPPORT)
-    entities = (
-        texts.select("key", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
-        .groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    )
+    texts = materialize(texts, "pii-texts")
+    named = texts.select("key", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    # No term meets an entity in more texts than the entity has.
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts")
+    entities = materialize(entities, "pii-entities")
+    named = named.join(entities, "entity", "left_semi")
+    words = texts.join(named.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
+    both = named.join(words, "key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"))
+    both = materialize(both.filter(F.col("texts") >= SUPPORT), "pii-both")
     wanted = both.select("term").distinct()
     # Words are counted before they are shuffled, so a common word costs one row per task.
     corpus = (
-        docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+        base.select(F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
         .groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     )
-    total = docs.agg(F.count("*").cast("double").alias("n"))
+    total = base.agg(F.count("*").cast("double").alias("n"))
     rated = both.join(entities, "entity").join(corpus, "term").join(F.broadcast(total))  # total is one row
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity").cast("double") * F.greatest("n_term", "n_both")))
     told = F.when(F.col("n_entity") < F.col("n"), pmi / F.log2(F.col("n") / F.col("n_entity"))).otherwise(0.0)
-    found = words.join(rated.filter(told >= DISCLOSURE).select("entity", "term"), ["entity", "term"], "left_semi")
-    span = F.struct(F.lit("term").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit("").alias("value"))
-    return found.select("key", span.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    return materialize(rated.filter(told >= DISCLOSURE).select("term").distinct(), "pii-disclosing")
+
+
+def term_spans(base: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """key and spans of the disclosing terms of every text that holds one, with or without an entity."""
+    held = base.select("key", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
+    held = materialize(held.join(broadcast_if_small(disclosing), "term").distinct(), "pii-held")
+    texts = base.join(held.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    # The places of a term: whole words, or any place in scripts without spaces; short words as terms_of takes them.
+    bound = F.when(F.col("term").rlike(f"^{DENSE}+$"), F.lit("")).otherwise(F.lit(LETTER))
+    edge = lambda side: F.when(bound == "", F.lit("")).otherwise(F.concat(F.lit(side), bound, F.lit(")")))
+    pattern = F.concat(F.lit("(?iu)"), edge("(?<!"), F.col("term"), edge("(?!"))
+    places = held.join(texts, "key").select("key", F.explode(matches(F.col("text"), pattern)).alias("m"))
+    places = places.filter(F.col("m.value").rlike(f"^(?:{TERM})$"))
+    span = F.struct(F.lit("term").alias("kind"), F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), F.lit("").alias("value"))
+    return places.select("key", span.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, key, base spans, and all spans with the method's terms that touch no base span."""
     base = find_base(docs)
-    terms = materialize(disclosing_terms(docs, base), "pii-disclosing")
+    terms = materialize(term_spans(base, disclosing_terms(base)), "pii-terms")
     clear = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
-    with_terms = base.filter(F.col("key").isNotNull()).join(terms, "key", "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    own = with_terms.select(
+    return base.select("doc_id", "key", "base").join(terms, "key", "left").select(
         "doc_id", "key", "base", F.concat("base", F.filter(F.coalesce("terms", none), clear)).alias("all")
     )
-    return own.unionByName(base.filter(F.col("key").isNull()).select("doc_id", "key", "base", F.col("base").alias("all")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where there, follows the text."""
-    found = find_personal(docs.select("doc_id", "text")).filter(F.col("key").isNotNull())
+    found = find_personal(docs.select("doc_id", "text")).filter(F.size("all") > 0)
     spans = found.groupBy("key").agg(F.array_sort(F.first(
         F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )).alias("_spans"))

@@ -1,0 +1,22 @@
+"""Disclosing terms over whole texts: far from the entity, repeated, without the entity, short, and in other scripts."""
+
+from signalcheck.llm import pii
+
+
+def test_terms_of_whole_texts(spark):
+    gap = "some plain words stand here and fill the line up until the very end "
+    rows = []
+    for i, other in enumerate(("alpha", "betaa", "gamma", "delta")):
+        rows.append((i, f"call Zorblatt {gap} z@x.example.com {other} {gap} and Zorblatt again"))
+        rows.append((10 + i, f"call Lee {gap} l@x.example.com {other}"))
+        rows.append((20 + i, f"call 王小明 {gap} w@x.example.com {other}"))
+    rows += [(100 + i, f"call {gap} and again Alpha betaa gamma delta at example {i}") for i in range(400)]
+    rows.append((900, "nobody but Zorblatt was there, says lee to Lee and 他是王小明。"))
+    found = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    words = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r["all"] if s.kind == "term"] for r in found}
+    assert words[0] == ["Zorblatt", "Zorblatt"] and words[10] == ["Lee"] and "王小明" in words[20]
+    assert set(words[900]) >= {"Zorblatt", "Lee", "王小明"} and "lee" not in words[900]
+    assert not any(words[100 + i] for i in range(400))
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[900] == "nobody but [TERM] was there, says lee to [TERM] and 他是[TERM]。"
