@@ -870,8 +870,7 @@ def retrain_scores(spark, folder):
 
 @query()
 def autoencoder_refresh(spark, folder):
-    rows = training_rows(spark, folder).filter("feature_name = 'bert'")
-    return feedback.refresh_autoencoders(rows, "doc_id")[0]
+    return feedback.refresh_autoencoders(training_rows(spark, folder), "doc_id")[0]
 
 
 @query()
