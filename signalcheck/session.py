@@ -55,3 +55,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_table_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored intermediates of one operator; leaving the block deletes them, on every file system Spark can write.
+
+    Whatever is returned from the block must not read them any more: store it with the plain ``materialize``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def materialize(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_table_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        while self.paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *error) -> None:
+        self.drop()
