@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from signalcheck.llm import phrases, repair, topk
 from signalcheck.llm.decontaminate import op3_decontaminate
 from signalcheck.llm.extract import op8_extract
 from signalcheck.llm.licenses import op10_licenses
@@ -18,7 +19,12 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_quality, op3_decontaminate, op4_token_counts, op5_pii,
         op6_rules, op7_simhash, op8_extract, op9_packing, op10_licenses,
+        topk.op11_topk, repair.op12_repair, phrases.op13_phrases,
     )
 }
-#: Every query returns what a model, a vocabulary, a hash or the method's own labels decide, which SQL does not have.
-ORACLE: dict[str, str] = {}
+#: The first ten return what a model, a vocabulary, a hash or the method's own labels decide, which SQL does not have.
+ORACLE: dict[str, str] = {
+    "op11_topk": topk.ORACLE_SQL,
+    "op12_repair": repair.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
+}
