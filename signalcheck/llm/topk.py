@@ -67,7 +67,7 @@ def entries_of(rows: DataFrame, keep: int) -> DataFrame:
 
 def matrix(column, size: int) -> np.ndarray:
     """One row per vector of an Arrow list column."""
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size) if len(column) else np.zeros((0, size), np.int64)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), size)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -68,7 +68,7 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 3)
     monkeypatch.setattr(topk, "REGIONS", 4)
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=4) * 10 ** rng.integers(-2, 3)]) for i in range(700)]
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-2, 3)]) for i in range(700)]
     rows += [(5_000 + i, [0.5, 0.25, 0.0, -1.0]) for i in range(400)]  # one very common vector, ties by id
     rows += [(i, [0.0, 0.0, 0.0, 0.0]) for i in (9_000, 9_001, 9_050)]
     rows += [(50, [1.0, 2.0, 3.0, 4.0]), (50, [1.0, 2.0, 3.0, 4.0]), (None, [1.0, 2.0, 3.0, 4.0]), (None, None), (100, None)]
@@ -167,7 +167,7 @@ def test_repair_of_odd_conversations(spark, monkeypatch, segment):
     roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "ua"]
     texts = ["Hi.", "Yes!", "no end", "", "  \t", None, "Why?", "a.b", "Same.", "Same.", "end. \n"]
     rows = [
-        (rng.choice([*range(60), None]) if i < 600 else 777, rng.choice([*range(12), None]) if i < 600 else i, rng.choice(roles), rng.choice(texts) + str(rng.random())[:3] + "." if rng.random() < 0.5 and (t := 1) and False else rng.choice(texts))
+        (rng.choice([*range(60), None]) if i < 600 else 777, rng.choice([*range(12), None]) if i < 600 else i, rng.choice(roles), rng.choice(texts))
         for i in range(900)
     ]
     rows += [(5, 0, "user", "long " * 50_000 + ".")] * 2
