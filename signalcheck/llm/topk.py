@@ -37,7 +37,7 @@ SCALE = 256
 REGIONS = 64
 #: Entries of a tree, of a leaf page, objects of an inner page, queries of a block.
 TREE_ENTRIES = 16_384
-PAGE = 64
+PAGE = 256
 FAN = 16
 BLOCK = 1_024
 #: Bounds are loosened by this share of the squared lengths, far above the error of double numbers.
@@ -70,31 +70,25 @@ def matrix(column, size: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), size)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of the rows of ``a`` and ``b``: in double numbers where no partial sum leaves their whole range."""
-    largest = np.sqrt((a.astype(float) ** 2).sum(-1).max(initial=0) * (b.astype(float) ** 2).sum(-1).max(initial=0))
-    if largest < EXACT:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
-
-
 class Tree:
-    """An M-tree over the rows of ``vectors``, bulk-loaded top down: seeds of a page take the entries nearest to them."""
+    """An M-tree over the rows of ``vectors``, bulk-loaded top down: seeds of a page take the entries nearest to them.
+
+    A page is (rows, their points, distance of each to the parent object, covering radius of each, child page of each);
+    leaves have neither radii nor children.
+    """
 
     def __init__(self, vectors: np.ndarray):
         squares = (vectors.astype(float) ** 2).sum(1)
-        self.vectors, self.most = vectors, squares.max(initial=0)
+        self.vectors, self.most = vectors, float(squares.max(initial=0))
         lifted = np.sqrt(np.maximum(self.most - squares, 0))
         self.points = np.concatenate([vectors.astype(float), lifted[:, None]], 1)
-        #: Per page: (is leaf, entries, distance of each to the parent object, covering radius of each, child page of each)
-        self.pages: list[tuple] = []
+        self.pages: list[tuple] = [()]
         rng = np.random.default_rng(3)
         todo = [(0, np.arange(len(vectors)), None)]
-        self.pages.append(())
         while todo:
             page, rows, parent = todo.pop()
             if len(rows) <= PAGE:
-                self.pages[page] = (True, rows, self._from(rows, parent), np.zeros(len(rows)), None)
+                self.pages[page] = (rows, self.points[rows], self._from(rows, parent), None, None)
                 continue
             seeds = rng.choice(rows, FAN, replace=False)
             nearest = self._apart(rows, seeds).argmin(1)
@@ -106,7 +100,7 @@ class Tree:
                 child[i] = len(self.pages)
                 self.pages.append(())
                 todo.append((child[i], own, seed))
-            self.pages[page] = (False, seeds, self._from(seeds, parent), radius, child)
+            self.pages[page] = (seeds, self.points[seeds], self._from(seeds, parent), radius, child)
 
     def _apart(self, rows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         a, b = self.points[rows], self.points[seeds]
@@ -117,54 +111,70 @@ class Tree:
             return np.zeros(len(rows))
         return np.sqrt(((self.points[rows] - self.points[parent]) ** 2).sum(1))
 
-    def search(self, query: np.ndarray, k: int, counts: np.ndarray, least: int) -> list[tuple[int, int]]:
-        """(score, row) of the rows that may be among the first ``k``; ``counts`` tells how often a row stands for one.
+    def scores(self, query: np.ndarray, rows: np.ndarray, points: np.ndarray, exact: bool) -> np.ndarray:
+        """Integer products: in double numbers where no partial sum leaves their whole range."""
+        if exact:
+            return (points[:, :-1] @ query.astype(float)).astype(np.int64)
+        return self.vectors[rows] @ query
 
-        Rows that score under ``least`` are left out.
+    def search(self, query: np.ndarray, k: int, counts: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
+        """(score, row) of the rows that may be among the first ``k``, and how many rows were compared.
+
+        ``counts`` tells how often a row stands for one; rows that score under ``least`` are left out.
         """
         wide = query.astype(float)
         own = float(wide @ wide)
+        exact = own * self.most < EXACT**2
         slack = SLACK * (own + self.most) + 1e-6
         # A score of at least s means a distance of at most sqrt(own + most - 2 s).
-        reach = lambda s: np.sqrt(max(own + self.most - 2 * s, 0.0) + slack)
+        reach = lambda s: float(np.sqrt(max(own + self.most - 2 * s, 0.0) + slack))
         tree_query = np.append(wide, 0.0)
         best: list[tuple[int, int]] = []
-        held = 0
+        compared = 0
         radius = reach(least)
-        waiting = [(0.0, 0, 0.0, False)]
+        waiting = [(0.0, 0, None)]
         while waiting:
-            nearest, page, to_parent, known = heapq.heappop(waiting)
+            nearest, page, to_parent = heapq.heappop(waiting)
             if nearest > radius:
                 break
-            leaf, rows, apart, covers, child = self.pages[page]
-            if known:
+            rows, points, apart, covers, child = self.pages[page]
+            if to_parent is not None:
                 # The stored distances exclude objects before their own distance is worked out.
-                may = np.abs(to_parent - apart) - covers <= radius + slack
-                rows, covers = rows[may], covers[may]
-                child = child[may] if child is not None else None
-            if not len(rows):
-                continue
-            if leaf:
-                for score, row in zip(products(query[None], self.vectors[rows])[0].tolist(), rows.tolist(), strict=True):
-                    if score < least:
-                        continue
-                    heapq.heappush(best, (score, row))
-                    held += counts[row]
-                    # Drop the lowest score as a whole once the others suffice; ties of the k-th score stay.
-                    while held - (lowest := sum(counts[r] for s, r in best if s == best[0][0])) >= k:
-                        held -= lowest
-                        score_out = best[0][0]
-                        while best and best[0][0] == score_out:
-                            heapq.heappop(best)
-                    if held >= k:
-                        least = max(least, best[0][0])
-                        radius = reach(least)
+                may = np.abs(to_parent - apart) <= radius + slack + (0.0 if covers is None else covers)
+                if not may.all():
+                    rows, points = rows[may], points[may]
+                    covers, child = (None, None) if covers is None else (covers[may], child[may])
+                if not len(rows):
+                    continue
+            if covers is None:
+                compared += len(rows)
+                scores = self.scores(query, rows, points, exact)
+                good = np.flatnonzero(scores >= least)
+                if len(good) > k:  # at most k better ones can be needed; ties of the last stay
+                    good = good[scores[good] >= np.partition(scores[good], -k)[-k]]
+                if len(good):
+                    best = [*best, *zip(scores[good].tolist(), rows[good].tolist(), strict=True)]
+                    best, least = first_scores(best, k, counts, least)
+                    radius = reach(least)
                 continue
-            distance = np.sqrt(((self.points[rows] - tree_query) ** 2).sum(1))
-            for d, cover, below in zip(distance.tolist(), covers.tolist(), child.tolist(), strict=True):
-                if d - cover <= radius + slack:
-                    heapq.heappush(waiting, (max(d - cover, 0.0), below, d, True))
-        return best
+            distance = np.sqrt(((points - tree_query) ** 2).sum(1))
+            near = np.maximum(distance - covers, 0.0)
+            for i in np.flatnonzero(near <= radius + slack).tolist():
+                heapq.heappush(waiting, (float(near[i]), int(child[i]), float(distance[i])))
+        return best, compared
+
+
+def first_scores(best: list[tuple[int, int]], k: int, counts: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
+    """The best rows until they stand for ``k``, with all ties of the last score; and the score to reach from now on."""
+    best = sorted(best, reverse=True)
+    held = 0
+    for i, (score, row) in enumerate(best):
+        held += int(counts[row])
+        if held >= k:
+            while i + 1 < len(best) and best[i + 1][0] == score:
+                i += 1
+            return best[: i + 1], max(least, score)
+    return best, least
 
 
 def search_blocks(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
@@ -188,7 +198,8 @@ def search_blocks(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
             tree = Tree(vectors)
             lows = left.column("least").to_pylist()
             for i, name in enumerate(left.column("query").to_pylist()):
-                for score, row in tree.search(queries[i], k, counts, -(2**62) if lows[i] is None else lows[i]):
+                found, _ = tree.search(queries[i], k, counts, -(2**62) if lows[i] is None else lows[i])
+                for score, row in found:
                     for member in members[row]:
                         out["query"].append(name)
                         out["score"].append(score)

@@ -66,6 +66,7 @@ def ran(df):
 def test_top_k_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "TREE_ENTRIES", 40)
     monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "PAGE", 20)
     monkeypatch.setattr(topk, "REGIONS", 4)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-2, 3)]) for i in range(700)]
@@ -89,16 +90,10 @@ def test_tree_leaves_out_distances():
     centres = rng.integers(-2_000, 2_000, (20, 8))
     vectors = (centres[rng.integers(0, 20, 5_000)] + rng.integers(-20, 20, (5_000, 8))).astype(np.int64)
     tree = topk.Tree(vectors)
-    seen = []
-    original = topk.products
-    try:
-        topk.products = lambda a, b: seen.append(len(b)) or original(a, b)
-        found = tree.search(vectors[0], 5, np.ones(5_000, int), -(2**62))
-    finally:
-        topk.products = original
+    found, compared = tree.search(vectors[0], 5, np.ones(5_000, int), -(2**62))
     best = np.sort(vectors @ vectors[0])[::-1][:5]
     assert sorted((s for s, _ in found), reverse=True)[:5] == best.tolist()
-    assert sum(seen) < 1_500
+    assert compared < 1_500
 
 
 # --- conversation repair
