@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalcheck.operators.autoencoder import MAX_WIDTH, Autoencoder, autoencoder_anomaly, vector_width
+from signalcheck.operators.autoencoder import Autoencoder, autoencoder_anomaly, vector_width
+from signalcheck.operators.features import MODEL_WIDTH, fold_vectors
 from signalcheck.operators.verify import VERDICT_LABELS, attach_verdicts
 from signalcheck.operators.vote import accuracy, fit_three, with_bayes_input
 from signalcheck.session import materialize
@@ -37,12 +38,20 @@ def training_set(verdicts: DataFrame, posts: DataFrame, features: DataFrame, key
     return features.join(labels, key)
 
 
-def retrain_classifiers(training: DataFrame, max_iter: int = 20) -> DataFrame:
+def at_model_width(rows: DataFrame, key: str, width: int = MODEL_WIDTH) -> DataFrame:
+    """The rows with vectors of at most ``width`` places; wider ones are folded, so no term is lost."""
+    if vector_width(rows) <= width:
+        return rows
+    return rows.drop("features").join(fold_vectors(rows, key, width), key)
+
+
+def retrain_classifiers(training: DataFrame, key: str, max_iter: int = 20, width: int = MODEL_WIDTH) -> DataFrame:
     """Refit the three classifiers per feature name: ``(feature_name, model, accuracy)`` on the training rows."""
     spark = training.sparkSession
     scores = []
     for name in feature_names(training):
-        rows = training.filter(F.col("feature_name") == name).select("features", F.col("label").cast("double").alias("label"))
+        rows = at_model_width(training.filter(F.col("feature_name") == name).select(key, "features", "label"), key, width)
+        rows = rows.select("features", F.col("label").cast("double").alias("label"))
         rows = materialize(with_bayes_input(rows, name in SIGNED_FEATURES), "retrain-input")
         classes = rows.select("label").distinct().count()
         if classes < 2:
@@ -53,7 +62,7 @@ def retrain_classifiers(training: DataFrame, max_iter: int = 20) -> DataFrame:
 
 
 def refresh_autoencoders(
-    training: DataFrame, key: str, models: Mapping[str, Autoencoder] | None = None, **options
+    training: DataFrame, key: str, models: Mapping[str, Autoencoder] | None = None, width: int = MODEL_WIDTH, **options
 ) -> tuple[DataFrame | None, dict[str, Autoencoder]]:
     """Score the label-0 rows per feature name, training where no model of that name and width is known.
 
@@ -65,11 +74,9 @@ def refresh_autoencoders(
         normal = training.filter((F.col("feature_name") == name) & (F.col("label") == 0)).select(key, "features")
         if normal.isEmpty():
             continue
-        width = vector_width(normal)
-        if width > MAX_WIDTH:
-            raise ValueError(f"{name} has {width} features; cut the vocabulary to {MAX_WIDTH} first")
+        normal = at_model_width(normal, key, width)
         scored, known[name] = autoencoder_anomaly(
-            normal, key, width, known.get(name), sparse=name not in SIGNED_FEATURES, **options
+            normal, key, vector_width(normal), known.get(name), sparse=name not in SIGNED_FEATURES, **options
         )
         scored = scored.withColumn("feature_name", F.lit(name))
         flags = scored if flags is None else flags.unionByName(scored)
@@ -90,7 +97,7 @@ def update_system(
     if training.isEmpty():
         raise ValueError("no verified post has features")
     flags, known = refresh_autoencoders(training, key, models, **options)
-    return {"hybrid": retrain_classifiers(training, max_iter), "autoenc": flags, "models": known}
+    return {"hybrid": retrain_classifiers(training, key, max_iter), "autoenc": flags, "models": known}
 
 
 def feature_names(features: DataFrame) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from signalcheck.functions import columns, scoring, text
 from signalcheck.operators import anomaly, features
-from signalcheck.operators.autoencoder import ENCODING_DIM, EPOCHS, MAX_WIDTH, autoencoder_anomaly, vector_width
+from signalcheck.operators.autoencoder import ENCODING_DIM, EPOCHS, autoencoder_anomaly, vector_width
 from signalcheck.operators.dbscan import EPS, MIN_SAMPLES, dbscan_noise
 from signalcheck.operators.verify import Check, check_by_overlap, incremental_verify
 from signalcheck.operators.vote import vote_anomaly
@@ -43,7 +43,10 @@ class PipelineConfig:
     quantile: float = anomaly.QUANTILE
     encoding_dim: int = ENCODING_DIM
     epochs: int = EPOCHS
-    max_terms: int = MAX_WIDTH
+    # Places of the vectors that models read; term vectors hold every term and are folded to this width.
+    model_width: int = features.MODEL_WIDTH
+    # Where the feature rows of the suspects are kept, by feature name; None keeps them for this run only.
+    feature_path: str | None = None
     evidence: DataFrame | None = None
     evidence_key: str = "item_id"
     evidence_text: str = "text"
@@ -73,13 +76,14 @@ def preprocess(posts: DataFrame, config: PipelineConfig) -> DataFrame:
 
 
 def build_features(posts: DataFrame, config: PipelineConfig) -> dict[str, DataFrame]:
-    """Feature vectors by name, each ``(key, features)`` and stored, since every detector reads them."""
+    """Feature vectors by name, each ``(key, features)`` with every term, stored since every detector reads them."""
     key = config.key
-    model = features.fit_count_vectors(posts, "Tokens", config.max_terms)
-    counts = materialize(features.count_vectors(model, posts, key, "Tokens"), "features-dtm")
+    found = materialize(features.term_counts(posts, key, "Tokens"), "term-counts")
+    ids = features.term_ids(found)
+    counts = features.term_vectors(found, ids, posts, key)
     weighted = counts
     if config.tfidf == "idf":
-        weighted = materialize(features.weighted_vectors(counts), "features-tfidf")
+        weighted = features.term_vectors(features.tfidf(found, key), ids, posts, key, "weight")
     embedded = scoring.embed(posts.select(key, F.col(f"`{config.text}`").alias("_text")), "_text", "_vector", config.make_embedder)
     bert = materialize(embedded.select(key, array_to_vector("_vector").alias("features")), "features-bert")
     return {"tfidf": weighted, "dtm": counts, "bert": bert}
@@ -88,11 +92,12 @@ def build_features(posts: DataFrame, config: PipelineConfig) -> dict[str, DataFr
 def detect(posts: DataFrame, vectors: dict[str, DataFrame], config: PipelineConfig) -> DataFrame:
     """``(key, detector)`` of every row that one of the eleven detector and feature pairs flags."""
     key, q = config.key, config.quantile
+    exact, vectors = vectors, model_vectors(vectors, config)
     dense = vectors["bert"].select(key, F.unwrap_udt("features")["values"].alias("x"))
     flags = {
         "kmeans_dtm": anomaly.kmeans_anomaly(vectors["dtm"], key, config.clusters, q=q, sparse=True),
         "kmeans_bert": anomaly.kmeans_anomaly(vectors["bert"], key, config.clusters, q=q),
-        "dbscan_dtm": _count_noise(posts, config),
+        "dbscan_dtm": _count_noise(posts, exact["dtm"], config),
         "dbscan_bert": dbscan_noise(dense, key, "x", config.eps, config.min_samples),
         "hybrid_dtsvmnb_dtm": vote_anomaly(_labelled(vectors["dtm"], posts, config), key, q),
         "autoencoder_dtm": _rebuilt(vectors["dtm"], config, sparse=True),
@@ -102,7 +107,7 @@ def detect(posts: DataFrame, vectors: dict[str, DataFrame], config: PipelineConf
         for detector in ("kmeans", "dbscan", "hybrid_dtsvmnb", "autoencoder"):
             flags[f"{detector}_tfidf"] = flags[f"{detector}_dtm"]
     else:
-        plain = vectors["tfidf"].select(key, vector_to_array("features").alias("x"))
+        plain = exact["tfidf"].select(key, vector_to_array("features").alias("x"))
         flags |= {
             "kmeans_tfidf": anomaly.kmeans_anomaly(vectors["tfidf"], key, config.clusters, q=q, sparse=True),
             "dbscan_tfidf": dbscan_noise(plain, key, "x", config.eps, config.min_samples),
@@ -112,13 +117,17 @@ def detect(posts: DataFrame, vectors: dict[str, DataFrame], config: PipelineConf
     return anomaly.union_flags(flags, key)
 
 
-def _count_noise(posts: DataFrame, config: PipelineConfig) -> DataFrame:
+def model_vectors(vectors: dict[str, DataFrame], config: PipelineConfig) -> dict[str, DataFrame]:
+    """The vectors at the width of the models; equal feature sets stay one."""
+    folded = {id(v): features.fold_vectors(v, config.key, config.model_width) for name, v in vectors.items() if name != "bert"}
+    return {name: folded.get(id(v), v) for name, v in vectors.items()}
+
+
+def _count_noise(posts: DataFrame, counts: DataFrame, config: PipelineConfig) -> DataFrame:
     """Density noise on all term counts; below a radius of 1 only equal rows are neighbours."""
     if config.eps < 1:
         return anomaly.duplicate_noise(posts, config.key, anomaly.bag_of_terms(F.col("Tokens")), config.min_samples)
-    model = features.fit_count_vectors(posts, "Tokens", config.max_terms)
-    plain = features.count_vectors(model, posts, config.key, "Tokens").select(config.key, vector_to_array("features").alias("x"))
-    return dbscan_noise(plain, config.key, "x", config.eps, config.min_samples)
+    return dbscan_noise(counts.select(config.key, vector_to_array("features").alias("x")), config.key, "x", config.eps, config.min_samples)
 
 
 def _labelled(vectors: DataFrame, posts: DataFrame, config: PipelineConfig) -> DataFrame:
@@ -147,11 +156,15 @@ def run(posts: DataFrame, config: PipelineConfig) -> dict[str, DataFrame]:
     flags = materialize(detect(ready, vectors, config), "flags")
     suspects = anomaly.union_suspects(flags, key)
     rows = anomaly.select_suspects(ready, suspects, key)
+    kept = features.suspect_features(vectors, suspects, key)
+    if config.feature_path is not None:
+        features.store_suspect_features(kept, config.feature_path)
+        kept = ready.sparkSession.read.schema(kept.schema).parquet(config.feature_path)
     result = {
         "posts": ready,
         "flags": flags,
         "suspects": suspects,
-        "suspect_features": features.suspect_features(vectors, suspects, key),
+        "suspect_features": kept,
     }
     check = config.check
     if check is None and config.evidence is not None:

@@ -154,21 +154,25 @@ def embedding_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", "label", array_to_vector("embedding").alias("features"))
 
 
-def document_features(spark: SparkSession, folder: str, max_terms: int = features.MAX_TERMS) -> dict[str, DataFrame]:
-    """Term counts and a two-number size vector per document, both as ML vectors."""
+def document_features(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Counts of all terms and a two-number size vector per document, both as ML vectors; and the term dictionary."""
     tokens = materialize(document_tokens(spark, folder), "document-tokens")
-    model = features.fit_count_vectors(tokens, "tokens", max_terms)
+    counts = materialize(features.term_counts(tokens, "doc_id", "tokens"), "term-counts")
+    ids = features.term_ids(counts)
     size = F.array(F.col("n_chars").cast("double"), F.size("tokens").cast("double"))
-    return {
-        "dtm": features.count_vectors(model, tokens, "doc_id", "tokens"),
+    found = {
+        "dtm": features.term_vectors(counts, ids, tokens, "doc_id"),
         "size": tokens.select("doc_id", array_to_vector(size).alias("features")),
     }
+    return found, ids
 
 
-def filled_cells(vector: str = "features") -> tuple[Column, Column]:
-    """Number of stored cells and their sum."""
-    cells = F.unwrap_udt(vector)["values"]
-    return F.size(cells).cast("bigint"), F.aggregate(cells, F.lit(0.0), lambda total, v: total + v)
+def feature_cells(rows: DataFrame, ids: DataFrame, *keep: str) -> DataFrame:
+    """Every stored cell of feature rows: the kept columns, the feature's name or place, its value."""
+    cells = features.vector_cells(rows, *keep)
+    terms = features.named_cells(cells.filter("feature_name = 'dtm'"), ids, *keep)
+    places = cells.filter("feature_name <> 'dtm'").select(*keep, F.col("_at").cast("string").alias("feature"), "_value")
+    return terms.withColumnRenamed("term", "feature").unionByName(places).withColumnRenamed("_value", "value")
 
 
 # ---- Scans, sinks, preview ----
@@ -382,14 +386,11 @@ def tfidf_weights(spark, folder):
     return features.tfidf(counts, "doc_id").select("doc_id", "term", r6(F.col("weight")).alias("weight"))
 
 
-@query(
-    f"""WITH {SQL_TERM_COUNTS}
-    SELECT doc_id, count(term) AS n_terms, coalesce(sum(n), 0)::DOUBLE AS n_tokens
-    FROM documents LEFT JOIN term_counts USING (doc_id) GROUP BY doc_id"""
-)
+@query(f"WITH {SQL_TERM_COUNTS} SELECT doc_id, term, n FROM term_counts")
 def dtm_vectors(spark, folder):
-    filled, total = filled_cells()
-    return document_features(spark, folder)["dtm"].select("doc_id", filled.alias("n_terms"), total.alias("n_tokens"))
+    found, ids = document_features(spark, folder)
+    cells = features.named_cells(features.vector_cells(found["dtm"], "doc_id"), ids, "doc_id")
+    return cells.select("doc_id", "term", F.col("_value").cast("bigint").alias("n"))
 
 
 @query()
@@ -402,22 +403,23 @@ def embed_batch(spark, folder):
 SQL_LONG = "long_documents AS (SELECT * FROM documents WHERE n_chars > (SELECT quantile_cont(n_chars, 0.95) FROM documents))"
 
 
-@query(
-    f"""WITH {SQL_TERM_COUNTS}, {SQL_LONG},
-    dtm AS (SELECT doc_id, count(*) AS n_values, sum(n)::DOUBLE AS total FROM term_counts GROUP BY doc_id)
-    SELECT doc_id, 'dtm' AS feature_name, coalesce(n_values, 0) AS n_values, coalesce(total, 0) AS total
-    FROM long_documents LEFT JOIN dtm USING (doc_id)
-    UNION ALL
-    SELECT doc_id, 'size', 2, (n_chars + len({sql_tokens("lower(text)")}))::DOUBLE FROM long_documents"""
-)
+def _sql_feature_cells(source: str, keep: str) -> str:
+    names = f"SELECT {keep.format('dtm')}"
+    sizes = f"SELECT {keep.format('size')}"
+    return f"""{names}, term AS feature, n::DOUBLE AS value FROM {source} JOIN term_counts USING (doc_id)
+    UNION ALL {sizes}, '0', n_chars::DOUBLE FROM {source}
+    UNION ALL {sizes}, '1', len({sql_tokens("lower(text)")})::DOUBLE FROM {source}"""
+
+
+@query(f"""WITH {SQL_TERM_COUNTS}, {SQL_LONG} {_sql_feature_cells("long_documents", "doc_id, '{}' AS feature_name")}""")
 def suspect_features(spark, folder):
     flagged = flag_above_quantile(table(spark, folder, "documents").select("doc_id", "n_chars"), "n_chars")
     path = new_table_path(spark, "suspect-features")
-    rows = features.suspect_features(document_features(spark, folder), flagged.filter("is_anomaly"), "doc_id")
+    found, ids = document_features(spark, folder)
+    rows = features.suspect_features(found, flagged.filter("is_anomaly"), "doc_id")
     features.store_suspect_features(rows, path)
-    filled, total = filled_cells()
     stored = spark.read.schema(rows.schema).parquet(path)
-    return stored.select("doc_id", "feature_name", filled.alias("n_values"), total.alias("total"))
+    return feature_cells(stored, ids, "doc_id", "feature_name")
 
 
 # ---- Scores per text ----
@@ -636,7 +638,7 @@ def kmeans_anomaly(spark, folder):
 
 @query()
 def kmeans_anomaly_terms(spark, folder):
-    counts = materialize(document_features(spark, folder)["dtm"], "features-dtm")
+    counts = features.fold_vectors(document_features(spark, folder)[0]["dtm"], "doc_id")
     return anomaly.kmeans_anomaly(counts, "doc_id", sparse=True)
 
 
@@ -669,7 +671,7 @@ def autoencoder_anomaly(spark, folder):
 
 @query()
 def classifier_vote(spark, folder):
-    counts = document_features(spark, folder, autoencoder.MAX_WIDTH)["dtm"]
+    counts = features.fold_vectors(document_features(spark, folder)[0]["dtm"], "doc_id")
     labels = wide(spark, folder, "documents").select("doc_id", F.col("lang").alias("label_text"))
     return vote.vote_anomaly(counts.join(labels, "doc_id"), "doc_id")
 
@@ -825,37 +827,29 @@ def document_claims(spark: SparkSession, folder: str) -> DataFrame:
     return wide(spark, folder, "documents").select("doc_id", F.lower("text").alias("claim"))
 
 
-@query(
-    f"""WITH {SQL_VERDICTS}, {SQL_LABELLED}, {SQL_TERM_COUNTS},
-    dtm AS (SELECT doc_id, count(*) AS n_values, sum(n)::DOUBLE AS total FROM term_counts GROUP BY doc_id)
-    SELECT doc_id, 'dtm' AS feature_name, label, coalesce(n_values, 0) AS n_values, coalesce(total, 0) AS total
-    FROM verified LEFT JOIN dtm USING (doc_id)
-    UNION ALL
-    SELECT doc_id, 'size', label, 2, (n_chars + len({sql_tokens("lower(text)")}))::DOUBLE FROM verified"""
-)
+@query(f"""WITH {SQL_VERDICTS}, {SQL_LABELLED}, {SQL_TERM_COUNTS} {_sql_feature_cells("verified", "doc_id, '{}' AS feature_name, label")}""")
 def training_set(spark, folder):
     claims = document_claims(spark, folder)
-    rows = features.suspect_features(document_features(spark, folder), claims, "doc_id")
-    filled, total = filled_cells()
+    found, ids = document_features(spark, folder)
+    rows = features.suspect_features(found, claims, "doc_id")
     training = feedback.training_set(stated_verdicts(spark, folder), claims, rows, "doc_id")
-    return training.select("doc_id", "feature_name", "label", filled.alias("n_values"), total.alias("total"))
+    return feature_cells(training, ids, "doc_id", "feature_name", "label")
 
 
 @query(
-    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: greatest(v::DOUBLE, 0.0::DOUBLE))), 6) AS total FROM embeddings"""
+    """SELECT vec_id, generate_subscripts(embedding, 1)::INTEGER - 1 AS place, greatest(unnest(embedding)::DOUBLE, 0.0::DOUBLE) AS value FROM embeddings"""
 )
 def clip_features(spark, folder):
     clipped = vectors.clip_negative(F.col("embedding").cast("array<double>"))
-    total = F.aggregate(clipped, F.lit(0.0), lambda a, v: a + v)
-    return table(spark, folder, "embeddings").select("vec_id", r6(total).alias("total"))
+    return table(spark, folder, "embeddings").select("vec_id", F.posexplode(clipped).alias("place", "value"))
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Verified documents with term counts and hashed word vectors, cut to model width."""
+    """Verified documents with counts of all terms and hashed word vectors."""
     documents = wide(spark, folder, "documents").select("doc_id", text.clean_text(F.lower("text")).alias("cleaned"))
     embedded = scoring.embed(documents, "cleaned", "v", scoring.hashed_words_embedder())
     found = {
-        "dtm": document_features(spark, folder, autoencoder.MAX_WIDTH)["dtm"],
+        "dtm": document_features(spark, folder)[0]["dtm"],
         "bert": embedded.select("doc_id", array_to_vector("v").alias("features")),
     }
     claims = document_claims(spark, folder)
@@ -865,7 +859,7 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def retrain_scores(spark, folder):
-    return feedback.retrain_classifiers(training_rows(spark, folder))
+    return feedback.retrain_classifiers(training_rows(spark, folder), "doc_id")
 
 
 @query()

@@ -106,7 +106,8 @@ def test_count_noise_equals_density_noise(spark):
 def test_sparse_and_dense_distances_agree(spark):
     rows = [(i, [f"t{(i * j) % 9}x" for j in range(1, 8)]) for i in range(40)]
     df = spark.createDataFrame(rows, "id bigint, tokens array<string>")
-    counts = features.count_vectors(features.fit_count_vectors(df, "tokens"), df, "id", "tokens").cache()
+    found = features.term_counts(df, "id", "tokens")
+    counts = features.term_vectors(found, features.term_ids(found), df, "id")
     sparse = {r["id"]: r["distance"] for r in anomaly.kmeans_anomaly(counts, "id", 3, sparse=True).collect()}
     dense = {r["id"]: r["distance"] for r in anomaly.kmeans_anomaly(counts, "id", 3).collect()}
     assert sparse.keys() == dense.keys()
