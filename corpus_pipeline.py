@@ -1,7 +1,9 @@
 """Corpus pipeline: toxic documents go, one of each near-duplicate group stays, benchmark passages are cut out,
 personal data is replaced, and what is left is packed into sequences.
 
-Each stage takes (spark, docs, sf_dir) and reads all rows its predecessor kept. Null texts count as empty.
+Each stage takes (spark, docs, sf_dir) and reads all rows its predecessor kept. Null texts count as empty. Equal rows
+are near duplicates, of which one stays; rows without doc_id stay where nothing else is in their group. Columns beside
+those of documents are handed on, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 
 from signalcheck.llm.common import table
 from signalcheck.llm.decontaminate import load_windows, remove_passages
-from signalcheck.llm.near_copies import keep_first
 from signalcheck.llm.packing import pack_documents
 from signalcheck.llm.pii import sanitise
+from signalcheck.llm.simhash import keep_first
 from signalcheck.llm.toxicity import fit_toxicity, score_toxicity
 from signalcheck.session import materialize
 
@@ -27,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Groups at three-word shingles and up to three differing bits, as the SimHash operator forms them."""
     return keep_first(docs)
 
 

@@ -43,11 +43,14 @@ def test_folding_keeps_every_count(spark):
 def test_a_rare_term_changes_a_score(spark):
     """Beyond 4,096 more frequent terms, a term still moves the distance of its document."""
     common = [f"c{j}x" for j in range(5_000)]
-    rows = [(i, common + (["rare"] * 500 if i == 7 else [])) for i in range(30)]
-    found, _ = vectors_of(spark, rows)
-    scored = anomaly.kmeans_anomaly(features.fold_vectors(found, "id"), "id", 1, sparse=True)
-    distance = {r.id: r.distance for r in scored.collect()}
-    assert max(distance, key=distance.get) == 7 and distance[7] > 100
+
+    def distances(times):
+        found, _ = vectors_of(spark, [(i, common + [f"k{i % 4}x"] * (i % 4 + 1) + ["rare"] * times.get(i, 0)) for i in range(30)])
+        scored = anomaly.kmeans_anomaly(features.fold_vectors(found, "id"), "id", 2, sparse=True)
+        return {r.id: r.distance for r in scored.collect()}
+
+    assert max(distances({}).values()) < 5
+    assert max(distances({7: 300, 8: 400, 9: 900}).values()) > 20
 
 
 def brute_correlation(a, b):
