@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalcheck.llm.common import table
-from signalcheck.plans.skew import broadcast_if_small
-from signalcheck.session import materialize
+from signalcheck.plans.skew import broadcast_if_small, lookup
+from signalcheck.session import Scratch, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Look-behinds and possessive loops give the same matches in linear time.
@@ -35,6 +35,9 @@ DENSE = r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\
 TERM = rf"(?<!{LETTER})(?:{LETTER}{{4,}}+|[\p{{Lu}}\p{{Lt}}]{LETTER}{{0,2}}+|\p{{Lo}}{LETTER}{{0,2}}+)(?!{LETTER})"
 DISCLOSURE = 0.9
 SUPPORT = 3
+#: Pairs of one text, and rows of one text, that a task takes before they are cut.
+PAIRS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 50_000
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -89,10 +92,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_base(docs: DataFrame) -> DataFrame:
+def find_base(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text, its key and base spans, written once."""
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
-    return materialize(read.withColumn("key", F.md5("text")), "pii-base")
+    return scratch.materialize(read.withColumn("key", F.md5("text")), "pii-base")
 
 
 def windows(run: Column) -> Column:
@@ -111,69 +114,83 @@ def terms_of(text: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(words, F.coalesce(dense, F.array().cast("array<string>"))), F.lower))
 
 
-def disclosing_terms(base: DataFrame) -> DataFrame:
+def most_texts(n_entity, total: int) -> Column:
+    """No term in more texts than this tells DISCLOSURE of an entity of ``n_entity`` texts.
+
+    With n_both <= n_entity the share reaches d only if n_term <= n_both * (N / n_entity)^(1 - d).
+    """
+    return F.pow(F.col(n_entity).cast("double"), F.lit(DISCLOSURE)) * (float(total) ** (1 - DISCLOSURE) * (1 + 1e-9))
+
+
+def disclosing_terms(base: DataFrame, scratch: Scratch) -> DataFrame:
     """The terms that disclose some entity, by counts over whole texts."""
     texts = base.filter(F.size("base") > 0).groupBy("key").agg(
         F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")
     )
-    texts = materialize(texts, "pii-texts")
     named = texts.select("key", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    named = scratch.materialize(named, "pii-named")
     # No term meets an entity in more texts than the entity has.
     entities = named.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts")
-    entities = materialize(entities, "pii-entities")
-    named = named.join(entities, "entity", "left_semi")
-    words = texts.join(named.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
-    both = named.join(words, "key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"))
-    both = materialize(both.filter(F.col("texts") >= SUPPORT), "pii-both")
-    wanted = both.select("term").distinct()
-    # Words are counted before they are shuffled, so a common word costs one row per task.
-    corpus = (
-        base.select(F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    )
-    total = base.agg(F.count("*").cast("double").alias("n"))
-    rated = both.join(entities, "entity").join(corpus, "term").join(F.broadcast(total))  # total is one row
-    pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity").cast("double") * F.greatest("n_term", "n_both")))
-    told = F.when(F.col("n_entity") < F.col("n"), pmi / F.log2(F.col("n") / F.col("n_entity"))).otherwise(0.0)
-    return materialize(rated.filter(told >= DISCLOSURE).select("term").distinct(), "pii-disclosing")
-
-
-def term_spans(base: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """key and spans of the disclosing terms of every text that holds one, with or without an entity."""
+    entities = scratch.materialize(entities, "pii-entities")
+    total = base.count()
+    most = entities.agg(F.max(most_texts("n_entity", total))).first()[0]
+    if most is None:
+        return entities.select(F.col("entity").alias("term")).limit(0)
+    # Words are counted before they are shuffled, so a common word costs one row per task; the frequency of a term comes
+    # first, and only terms that some entity can be told by are paired.
+    corpus = base.select(F.explode(terms_of(F.col("text"), F.col("base"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    corpus = scratch.materialize(corpus.filter(F.col("n_term").between(SUPPORT, most)), "pii-frequency")
+    held = named.join(entities, "entity").groupBy("key").agg(F.count("*").alias("n_named"), F.max("n_entity").alias("largest"))
+    words = texts.join(held, "key").select("key", "n_named", "largest", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
+    words = words.join(corpus, "term").filter(F.col("n_term") <= most_texts("largest", total))
+    words = scratch.materialize(words.select("key", "n_named", "term", "n_term"), "pii-words")
+    # A text of very many entities and words is cut by the number of its pairs.
+    parts = words.groupBy("key").agg(F.ceil(F.count("*") * F.max("n_named") / F.lit(PAIRS_PER_TASK)).cast("int").alias("parts"))
+    left = named.join(entities, "entity").join(parts, "key").select("key", "entity", "copies", "n_entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = words.join(parts, "key").select("key", "term", "n_term", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"))
+    met = left.join(right, ["key", "part"]).filter(F.col("n_term") <= most_texts("n_entity", total))
+    both = met.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both")).filter(F.col("texts") >= SUPPORT)
+    n = F.lit(float(total))
+    pmi = F.log2(F.col("n_both") * n / (F.col("n_entity").cast("double") * F.greatest("n_term", "n_both")))
+    told = F.when(F.col("n_entity") < n, pmi / F.log2(n / F.col("n_entity"))).otherwise(0.0)
+    return scratch.materialize(both.filter(told >= DISCLOSURE).select("term").distinct(), "pii-disclosing")
+
+
+def term_spans(base: DataFrame, disclosing: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, rows and spans of the disclosing terms of every text that holds one, with or without an entity."""
     held = base.select("key", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
-    held = materialize(held.join(broadcast_if_small(disclosing), "term").distinct(), "pii-held")
+    held = scratch.materialize(held.join(broadcast_if_small(disclosing), "term").groupBy("key", "term").agg(F.count("*").alias("rows")), "pii-held")
     texts = base.join(held.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     # The places of a term: whole words, or any place in scripts without spaces; short words as terms_of takes them.
     bound = F.when(F.col("term").rlike(f"^{DENSE}+$"), F.lit("")).otherwise(F.lit(LETTER))
     edge = lambda side: F.when(bound == "", F.lit("")).otherwise(F.concat(F.lit(side), bound, F.lit(")")))
     pattern = F.concat(F.lit("(?iu)"), edge("(?<!"), F.col("term"), edge("(?!"))
-    places = held.join(texts, "key").select("key", F.explode(matches(F.col("text"), pattern)).alias("m"))
+    places = held.join(texts, "key").select("key", "rows", F.explode(matches(F.col("text"), pattern)).alias("m"))
     places = places.filter(F.col("m.value").rlike(f"^(?:{TERM})$"))
     span = F.struct(F.lit("term").alias("kind"), F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), F.lit("").alias("value"))
-    return places.select("key", span.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    return places.select("key", "rows", span.alias("s")).groupBy("key").agg(F.max("rows").alias("rows"), F.array_sort(F.collect_set("s")).alias("terms"))
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, key, base spans, and all spans with the method's terms that touch no base span."""
-    base = find_base(docs)
-    terms = materialize(term_spans(base, disclosing_terms(base)), "pii-terms")
-    clear = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return base.select("doc_id", "key", "base").join(terms, "key", "left").select(
-        "doc_id", "key", "base", F.concat("base", F.filter(F.coalesce("terms", none), clear)).alias("all")
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        base = find_base(docs, scratch)
+        terms = scratch.materialize(term_spans(base, disclosing_terms(base, scratch), scratch), "pii-terms")
+        clear = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
+        none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+        # A text that a third of all rows repeat is joined in as many tasks as its rows need.
+        found = lookup(base.select("doc_id", "key", "base"), terms, "key", "rows", F.col("doc_id"), "left", ROWS_PER_TASK)
+        return materialize(found.select("doc_id", "key", "base", F.concat("base", F.filter(F.coalesce("terms", none), clear)).alias("all")), "pii-spans")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where there, follows the text."""
-    found = find_personal(docs.select("doc_id", "text")).filter(F.size("all") > 0)
-    spans = found.groupBy("key").agg(F.array_sort(F.first(
+    spans = find_personal(docs.select("doc_id", "text")).filter(F.size("all") > 0).groupBy("key").agg(F.count("*").alias("_rows"), F.array_sort(F.first(
         F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )).alias("_spans"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_key", F.md5(text))
-    spans = materialize(spans, "pii-spans").withColumnRenamed("key", "_key")
-    touched = keyed.join(spans, "_key")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    keyed = docs.select(own, F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
+    marked = lookup(keyed, spans.withColumnRenamed("key", "_key"), "_key", "_rows", F.xxhash64("_doc"), "left", ROWS_PER_TASK)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc, s):
@@ -183,11 +200,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
     clean = F.aggregate("_spans", begin, add, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = touched.withColumn("text", clean)
+    changed = F.col("_spans").isNotNull()
+    new = {"text": F.when(changed, clean).otherwise(F.col("_doc.text"))}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    untouched = keyed.join(spans.select("_key"), "_key", "left_anti")
-    return untouched.select(*docs.columns).unionByName(changed.select(*docs.columns))
+        size = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, size).otherwise(F.col("_doc.n_chars"))
+    return marked.select(*(new.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
