@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalcheck.llm.common import append_columns, table
-from signalcheck.session import materialize
+from signalcheck.plans.skew import lookup
+from signalcheck.session import Scratch, materialize
 
 RADIUS = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 16
 GROUP = 50_000
+#: A fingerprint of more rows is joined in several tasks.
+ROWS_PER_TASK = 100_000
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -125,18 +128,19 @@ def stars_by_key(keyed: DataFrame) -> DataFrame:
     return found.select(F.explode("edges").alias("e")).select("e.a", "e.b")
 
 
-def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
+def links(nodes: DataFrame, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """Star edges (a, b), a < b, among distinct fingerprints; single keys never reach Python.
 
     A key of more than ``group`` fingerprints is split by narrower masks, twice if need be. Then at least 45 bits are fixed,
     so no key can hold more than 2**19 distinct fingerprints.
     """
+    scratch = scratch or Scratch(nodes.sparkSession)
     masks = block_masks()
     keyed = with_masks(nodes, F.array(*map(F.lit, masks)))
     found = []
     for _ in range(2):
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group)
-        large = materialize(sizes.select("key"), "large-keys")
+        large = scratch.materialize(sizes.select("key"), "large-keys")
         if large.isEmpty():
             break
         found.append(stars_by_key(keyed.join(large, "key", "left_anti")))
@@ -147,12 +151,13 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     return functools.reduce(DataFrame.union, found, stars_by_key(keyed)).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node with an edge, root the smallest node of its component.
 
     Alternates large-star and small-star; each round is written to the shared folder, which cuts the lineage.
     """
-    edges = materialize(edges.select("a", "b"), "edges")
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = scratch.materialize(edges.select("a", "b"), "edges")
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -162,7 +167,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.col("b").alias("x"), F.col("a").alias("y"))  # x > y
         low = down.groupBy("x").agg(F.min("y").alias("m"))
         small = down.join(low, "x").select(F.col("m").alias("a"), "y").filter("a <> y").select("a", F.col("y").alias("b"))
-        edges = materialize(small.union(low.select(F.col("m").alias("a"), F.col("x").alias("b"))).distinct(), "edges")
+        edges = scratch.materialize(small.union(low.select(F.col("m").alias("a"), F.col("x").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -174,12 +179,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
-    """fp, root (one fingerprint of its component) and component_id of every distinct fingerprint."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return materialize(placed.join(least, "root").select("fp", "root", "component_id"), "classes")
+    """fp, rows, root (one fingerprint of its component) and component_id of every distinct fingerprint."""
+    with Scratch(prints.sparkSession) as scratch:
+        nodes = scratch.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "nodes")
+        roots = components(links(nodes.select("fp"), scratch=scratch), scratch=scratch).withColumnRenamed("node", "fp")
+        placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+        return materialize(placed.join(least, "root").select("fp", "rows", "root", "component_id"), "classes")
 
 
 def own_fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -189,13 +195,15 @@ def own_fingerprints(docs: DataFrame, size: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     prints = own_fingerprints(docs, size)
-    named = fingerprint_classes(prints)
-    salts = 8  # rows of one fingerprint may be a third of the table
-    left = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    right = named.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    ).select("fp", "salt", "component_id")
-    return left.join(right, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    named = fingerprint_classes(prints).select("fp", "rows", "component_id")
+    # Rows of one fingerprint may be a third of the table; they are cut by their number.
+    return lookup(prints, named, "fp", "rows", F.col("doc_id"), rows_per_task=ROWS_PER_TASK).select("doc_id", "fp", "component_id")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -203,14 +211,15 @@ def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:
 
     Equal rows collapse; rows that share a doc_id but not a text stay apart.
     """
+    fp, root = free_name("_fp", docs), free_name("_root", docs)
     named = fingerprint_classes(own_fingerprints(docs, size))
     first = named.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
     loose = append_columns(
-        docs.filter(F.col("doc_id").isNull()), ["text"], "_fp long", lambda texts: [[fingerprint(t, size) for t in texts]]
+        docs.filter(F.col("doc_id").isNull()), ["text"], f"{fp} long", lambda texts: [[fingerprint(t, size) for t in texts]]
     )
-    nameless = named.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    return kept.unionByName(loose.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns))
+    nameless = named.filter(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root))
+    return kept.unionByName(loose.join(nameless, fp).dropDuplicates([root]).select(*docs.columns))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
