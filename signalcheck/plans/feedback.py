@@ -29,11 +29,13 @@ def label_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 def training_set(verdicts: DataFrame, posts: DataFrame, features: DataFrame, key: str) -> DataFrame:
-    """One row per verified post and feature name: ``features`` columns plus ``label``.
+    """One row per verified post, feature name and verdict: ``features`` columns plus ``label``.
+
+    A claim with verdicts that differ counts once for each of them.
 
     ``posts`` holds ``key`` and ``claim``; ``features`` holds ``key`` and ``feature_name``.
     """
-    stated = attach_verdicts(posts.select(key, "claim"), verdicts, key, "inner")
+    stated = attach_verdicts(posts.select(key, "claim"), verdicts, key, "inner", every=True)
     labels = label_verdicts(stated).select(key, "label")
     return features.join(labels, key)
 

@@ -96,7 +96,7 @@ stated AS (
   SELECT lower(text) AS claim,
          CASE WHEN toxic = 1 THEN 'False' WHEN quality = 1 THEN 'True' WHEN lang = 'en' THEN 'Unclear' ELSE 'bogus' END AS verdict
   FROM documents JOIN labels USING (doc_id)),
-verdicts AS (SELECT claim, min(verdict) AS verdict FROM stated GROUP BY claim)"""
+verdicts AS (SELECT DISTINCT claim, verdict FROM stated)"""
 
 SQL_EVIDENCE = f"""
 claims AS (SELECT DISTINCT text AS claim FROM conversations WHERE role = 'user'),
@@ -728,6 +728,17 @@ def evidence_topk(spark, folder):
     return ranked.withColumns({"share": r6(F.col("share")), "rank": F.col("rank").cast("bigint")})
 
 
+@query(f"WITH known AS (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) SELECT term, count(*) AS df FROM known GROUP BY term")
+def evidence_index(spark, folder):
+    """Documents by language, one after the other, into one stored index."""
+    documents = wide(spark, folder, "documents")
+    index = evidence.EvidenceIndex(spark, new_table_path(spark, "evidence-index"), "doc_id")
+    for german in (True, False):
+        index.add(documents.filter((F.col("lang") == "de") == F.lit(german)), "text")
+    index.add(documents, "text")  # nothing new
+    return index.frequency()
+
+
 def _sql_entities(value: str) -> str:
     for entity, character in evidence.ENTITIES.items():
         value = "replace({}, '{}', '{}')".format(value, entity, character.replace("'", "''"))
@@ -771,7 +782,7 @@ def _evidence_reader():
 
 @query(
     f"""WITH {SQL_EVIDENCE}
-    SELECT claim, CASE WHEN claim IN (SELECT claim FROM ranked) THEN 'True' ELSE 'Unclear' END AS verdict FROM claims"""
+    SELECT claim, CASE WHEN claim IN (SELECT claim FROM ranked) THEN 'True' ELSE 'Unclear' END AS verdict, NULL::VARCHAR AS error FROM claims"""
 )
 def verify_with_model(spark, folder):
     return verify.check_with_model(user_claims(spark, folder), wide(spark, folder, "documents"), "doc_id", "text", _evidence_reader)
@@ -794,9 +805,10 @@ def incremental_verify(spark, folder):
     claims, documents = user_claims(spark, folder), wide(spark, folder, "documents")
     rows = claims.withColumn("row", F.concat_ws("-", "conv_id", "turn"))
     path = new_table_path(spark, "verdicts")
+    index = evidence.EvidenceIndex.of(documents, "doc_id", "text")
 
     def check(new: DataFrame) -> DataFrame:
-        return verify.check_by_overlap(new, documents, "doc_id", "text")
+        return verify.check_by_overlap(new, index, "doc_id", "text")
 
     # Opening turns arrive first; the second run finds them done and checks the rest.
     verify.incremental_verify(rows.filter("turn = 0"), "row", path, check)
@@ -814,13 +826,13 @@ verified AS (SELECT doc_id, n_chars, text, label FROM documents JOIN mapped ON l
 
 @query(f"WITH {SQL_VERDICTS}, {SQL_LABELLED} SELECT claim, verdict, label FROM mapped")
 def map_verdict_label(spark, folder):
-    return feedback.label_verdicts(verdicts.one_per_claim(stated_verdicts(spark, folder)))
+    return feedback.label_verdicts(stated_verdicts(spark, folder).distinct())
 
 
 @query(f"WITH {SQL_VERDICTS} SELECT doc_id, n_chars, verdict FROM documents JOIN verdicts ON lower(text) = claim")
 def join_verdict_features(spark, folder):
     rows = wide(spark, folder, "documents").select("doc_id", "n_chars", F.lower("text").alias("claim"))
-    return verify.attach_verdicts(rows, stated_verdicts(spark, folder), "doc_id", "inner").select("doc_id", "n_chars", "verdict")
+    return verify.attach_verdicts(rows, stated_verdicts(spark, folder), "doc_id", "inner", every=True).select("doc_id", "n_chars", "verdict")
 
 
 def document_claims(spark: SparkSession, folder: str) -> DataFrame:
