@@ -38,6 +38,8 @@ TRIE_KEYS = 800_000
 WINDOW_BYTES = 2_000_000
 WINDOW_WORDS = 500_000
 SEEN_PHRASES = 1_000_000
+#: Counters that travel together.
+COUNTERS = 4_096
 #: The first ranks are taken among parts of a language first.
 PARTS = 64
 
@@ -240,7 +242,10 @@ def sightings(texts: DataFrame, length: int, shared, width: int, least: int) ->
 
 
 def counted(texts: DataFrame, length: int, shared, width: int) -> DataFrame:
-    """(number, a): the occurrences of the trie's phrases in each task."""
+    """(number, a): the occurrences of the trie's phrases.
+
+    A task hands on its counters in blocks; the blocks of the tasks are added, each where its number sends it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, numbered, trie = shared.value
@@ -248,12 +253,23 @@ def counted(texts: DataFrame, length: int, shared, width: int) -> DataFrame:
         for numbers in pieces_of(batches, length - 1):
             accepted = walk(trie, width, length, numbers)[:WINDOW_WORDS]
             counts += np.bincount(accepted[accepted >= 0], minlength=len(counts))
-        hit = np.flatnonzero(counts)
-        for lo in range(0, len(hit), 100_000):
-            part = hit[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(numbered[part].astype(np.int64)), pa.array(counts[part])], names=["number", "a"])
+        for lo in range(0, len(counts), COUNTERS):
+            part = counts[lo : lo + COUNTERS]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo // COUNTERS], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(counts, np.int64)
+                sums[block] = sums[block] + new if block in sums else new
+        numbered = shared.value[2]
+        for block, counts in sums.items():
+            hit = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(numbered[hit + block * COUNTERS]), pa.array(counts[hit])], names=["number", "a"])
 
-    return texts.mapInArrow(run, "number long, a long")
+    return texts.mapInArrow(run, "block int, counts binary").repartition("block").mapInArrow(added, "number long, a long")
 
 
 def shards(df: DataFrame, rows: int) -> Iterator[DataFrame]:
@@ -337,7 +353,7 @@ def phrase_counts(docs: DataFrame, least: int, most_words: int, scratch: Scratch
             levels.append(found.withColumn("a", F.lit(0).cast("long")))
             break
         parts = (number_trie(spark, p, length, width) for p in shards(found, rows))
-        a = over_parts(parts, lambda shared: counted(texts, length, shared, width), scratch, "phrase-counts", lambda df: df.groupBy("number").agg(F.sum("a").alias("a")))
+        a = over_parts(parts, lambda shared: counted(texts, length, shared, width), scratch, "phrase-counts", lambda df: df)
         levels.append(scratch.materialize(found.join(a, "number").filter(F.col("a") >= least), "phrase-frequent"))
     return levels, totals
 
