@@ -33,11 +33,11 @@ MOST_WORDS = 3
 FIRST = 2000
 #: A longer candidate with this share (in percent) of the occurrences of one that it holds replaces it.
 COVERED = 50
-TRIE_KEYS = 800_000
+TRIE_KEYS = 600_000
 #: Bytes of text, numbers of words, and different phrases that a task works on at once.
 WINDOW_BYTES = 2_000_000
-WINDOW_WORDS = 500_000
-SEEN_PHRASES = 1_000_000
+WINDOW_WORDS = 250_000
+SEEN_PHRASES = 600_000
 #: Counters that travel together.
 COUNTERS = 4_096
 #: The first ranks are taken among parts of a language first.
