@@ -156,31 +156,43 @@ def disclosing_terms(base: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.materialize(both.filter(told >= DISCLOSURE).select("term").distinct(), "pii-disclosing")
 
 
-def term_spans(base: DataFrame, disclosing: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, rows and spans of the disclosing terms of every text that holds one, with or without an entity."""
-    held = base.select("key", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term"))
-    held = scratch.materialize(held.join(broadcast_if_small(disclosing), "term").groupBy("key", "term").agg(F.count("*").alias("rows")), "pii-held")
-    texts = base.join(held.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    # The places of a term: whole words, or any place in scripts without spaces; short words as terms_of takes them.
-    bound = F.when(F.col("term").rlike(f"^{DENSE}+$"), F.lit("")).otherwise(F.lit(LETTER))
-    edge = lambda side: F.when(bound == "", F.lit("")).otherwise(F.concat(F.lit(side), bound, F.lit(")")))
-    pattern = F.concat(F.lit("(?iu)"), edge("(?<!"), F.col("term"), edge("(?!"))
-    places = held.join(texts, "key").select("key", "rows", F.explode(matches(F.col("text"), pattern)).alias("m"))
-    places = places.filter(F.col("m.value").rlike(f"^(?:{TERM})$"))
-    span = F.struct(F.lit("term").alias("kind"), F.col("m.start").cast("int").alias("start"), F.col("m.end").cast("int").alias("end"), F.lit("").alias("value"))
-    return places.select("key", "rows", span.alias("s")).groupBy("key").agg(F.max("rows").alias("rows"), F.array_sort(F.collect_set("s")).alias("terms"))
+def term_spans(text: Column, terms: Column) -> Column:
+    """The places of the terms: whole words, or any place in scripts without spaces; short words as terms_of takes them."""
+
+    def of_term(term: Column) -> Column:
+        dense = term.rlike(f"^{DENSE}+$")
+        edge = lambda side: F.when(dense, F.lit("")).otherwise(F.lit(f"{side}{LETTER})"))
+        found = matches(text, F.concat(F.lit("(?iu)"), edge("(?<!"), term, edge("(?!")))
+        good = F.filter(found, lambda m: m["value"].rlike(f"^(?:{TERM})$"))
+        return F.transform(good, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit("").alias("value")))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(terms, of_term))))
+
+
+def with_held(base: DataFrame, disclosing: DataFrame, scratch: Scratch) -> DataFrame:
+    """``base`` with ``held``, the disclosing terms of its text, with or without an entity; null where there are none.
+
+    The texts that hold one are few or many. Few keys are broadcast, and no text moves; otherwise a text that a third of
+    all rows repeat is joined in as many tasks as its rows need.
+    """
+    found = base.select("key", F.explode(terms_of(F.col("text"), F.col("base"))).alias("term")).join(broadcast_if_small(disclosing), "term")
+    found = found.groupBy("key", "term").agg(F.count("*").alias("rows"))
+    keys = scratch.materialize(found.groupBy("key").agg(F.max("rows").alias("rows"), F.sort_array(F.collect_list("term")).alias("held")), "pii-held")
+    small = broadcast_if_small(keys)
+    if small is not keys:
+        return base.join(small.drop("rows"), "key", "left")
+    return lookup(base, keys, "key", "rows", F.col("doc_id"), "left", ROWS_PER_TASK)
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, key, base spans, and all spans with the method's terms that touch no base span."""
     with Scratch(docs.sparkSession) as scratch:
         base = find_base(docs, scratch)
-        terms = scratch.materialize(term_spans(base, disclosing_terms(base, scratch), scratch), "pii-terms")
+        held = with_held(base, disclosing_terms(base, scratch), scratch)
         clear = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
         none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-        # A text that a third of all rows repeat is joined in as many tasks as its rows need.
-        found = lookup(base.select("doc_id", "key", "base"), terms, "key", "rows", F.col("doc_id"), "left", ROWS_PER_TASK)
-        return materialize(found.select("doc_id", "key", "base", F.concat("base", F.filter(F.coalesce("terms", none), clear)).alias("all")), "pii-spans")
+        terms = F.when(F.col("held").isNotNull(), F.filter(term_spans(F.col("text"), F.col("held")), clear)).otherwise(none)
+        return materialize(held.select("doc_id", "key", "base", F.concat("base", terms).alias("all")), "pii-spans")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
