@@ -1,160 +1,214 @@
 """Main text of web pages by a tree-structured graphical model.
 
-DOM nodes carry a hidden state, content or not. Node factors score features of a node, pair factors its state given
-its parent's and the kind of element; both are counted on labelled pages, where an article element marks the content. Sum-product messages
-go from the leaves to the root and back; a text whose node's content marginal is over one half is kept.
+DOM nodes carry a hidden state, content or not. Node factors are likelihood ratios of a node's features (its position
+under the nearest article or boilerplate mark, element name, whole class tokens, size of its own text, share of its text
+in links); pair factors are its state given its parent's and the kind of element. Both are counted on labelled pages,
+where the article element alone marks the content, on top of stated starting counts for what those pages do not show.
+Sum-product messages go from the leaves to the root and back in full; a text whose node's content marginal is over one
+half is kept.
 
-A null or empty page gives an empty text, as does one without content. Pages are read one by one, so repeated rows
-change nothing; an empty table gives an empty result. Without labelled pages the factors are the smoothing alone plus
-what element names say.
+Tags, quotes and comments are read as the HTML standard does, in linear time: an unfinished tag runs to the end of the
+page. A null or empty page gives an empty text, as does one without content. Pages are read one by one, so repeated rows
+change nothing; an empty table gives an empty result, and without labelled pages the starting counts decide.
 """
 
 from __future__ import annotations
 
 import html
-import pickle
+import math
 import re
+from collections import Counter
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalcheck.llm.common import append_columns, table
 
 TRAIN_PAGES = 2_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.S)
 CLUE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACE = re.compile(r"\s+")
 #: Elements of the HTML standard.
-RAW = frozenset("script style noscript template iframe textarea svg".split())
+RAW = frozenset("script style noscript template iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("head script style noscript template iframe textarea svg nav footer aside form button select header menu dialog".split())
-BOILER = re.compile(r"\b(?:ad|ads|advert\w*|banner|sidebar|cookie\w*|notice|comments?|menu|nav\w*|footer|header|promo|related|share|social|breadcrumbs?|newsletter)\b", re.I)
+ASIDE = frozenset("head svg nav footer aside form button select menu dialog".split())
 MAIN = frozenset(("article", "main"))
-KINDS = ("main", "hidden", "li", "other")
+#: Words that class tokens of boilerplate are made of, and words that add nothing to them.
+BOILER = frozenset(
+    "ad ads advert advertisement advertising banner sidebar cookie cookies consent notice notices comment comments menu nav navbar "
+    "navigation footer header promo related share sharing social breadcrumb breadcrumbs newsletter sponsor sponsored".split()
+)
+NEUTRAL = frozenset("area bar block bottom box container content inner left list main outer page right section site top widget wrap wrapper".split())
+
+#: How far each feature may speak: its share is mixed with one half by this weight.
+MIX = {"position": 0.04, "name": 0.5, "token": 0.3, "size": 0.3, "links": 0.3}
+PAIR_MIX = 0.04
+#: Starting counts (not content, content): for positions, and for a node's state under either state of its parent.
+START = {("position", "main"): (1, 8), ("position", "aside"): (8, 1), ("position", "outside"): (8, 1)}
+PAIR_START = {"main": ((1, 8), (1, 8)), "aside": ((8, 1), (8, 1)), "other": ((8, 1), (1, 8))}
+TOKEN_SIGHTINGS = 20
+
+
+def marks_boilerplate(token: str) -> bool:
+    """Whether a whole class token says boilerplate: ``site-nav`` does, ``no-sidebar`` and ``share-price`` do not."""
+    parts = [p for p in re.split("[-_]+", token) if p]
+    return any(p in BOILER for p in parts) and all(p in BOILER or p in NEUTRAL for p in parts)
 
 
 class Page:
-    """Nodes in page order: parent, name, clue words, and pieces of text (node, block number, text)."""
+    """Nodes in page order: parent, name, class tokens, and pieces of text (node, block number, text)."""
 
     def __init__(self, source: str):
-        self.parent, self.name, self.clue = [-1], ["#root"], [""]
+        self.parent, self.name, self.tokens = [-1], ["#root"], [()]
         self.texts: list[tuple[int, int, str]] = []
-        open_, at, block, skip = [0], 0, 0, None
-        for match in TOKEN.finditer(source):
-            if match.start() < at:
-                continue
-            if skip is None and match.start() > at:
-                self.texts.append((open_[-1], block, source[at : match.start()]))
-            if skip is not None and not (match[1] and match[2].lower() == skip):
-                continue  # inside raw text only its end tag counts
+        open_, names, at, block = [0], Counter(("#root",)), 0, 0
+        while True:
+            match = TOKEN.search(source, at)
+            end = match.start() if match else len(source)
+            if end > at:
+                self.texts.append((open_[-1], block, source[at:end]))
+            if not match:
+                break
             at = match.end()
             if not match[2]:
                 continue
             name = match[2].lower()
             block += name in BLOCK
             if match[1]:
-                skip = None
-                if name in (self.name[i] for i in open_):
-                    while self.name[open_.pop()] != name:
-                        pass
-                    open_ = open_ or [0]
+                if names[name]:
+                    while True:
+                        last = self.name[open_.pop()]
+                        names[last] -= 1
+                        if last == name:
+                            break
                 continue
             if name in ("p", "li", "td", "tr", "dt", "dd", "option") and self.name[open_[-1]] == name:
-                open_.pop()
-            elif name in BLOCK and name != "br" and "p" in (self.name[i] for i in open_[-4:]):
-                cut = max(i for i, n in enumerate(open_) if self.name[n] == "p")
-                if all(self.name[n] not in BLOCK for n in open_[cut + 1 :]):
-                    del open_[cut:]
+                names[self.name[open_.pop()]] -= 1
+            elif name in BLOCK and name != "br" and names["p"]:
+                # A block ends the paragraph it stands in, unless another block lies between.
+                for back in range(1, min(4, len(open_)) + 1):
+                    above = self.name[open_[-back]]
+                    if above == "p":
+                        names.subtract(self.name[i] for i in open_[-back:])
+                        del open_[-back:]
+                    if above in BLOCK:
+                        break
             self.parent.append(open_[-1])
             self.name.append(name)
-            self.clue.append(" ".join(x.strip("\"'") for x in CLUE.findall(match[3])))
-            if name in RAW:
-                skip, open_ = name, [*open_, len(self.name) - 1]
-                end = re.compile(rf"</{name}\b", re.I).search(source, at)
-                at = end.start() if end else len(source)
-            elif name not in VOID and not match[3].rstrip().endswith("/"):
+            self.tokens.append(tuple(" ".join(x.strip("\"'") for x in CLUE.findall(match[3])).lower().split()) if "=" in match[3] else ())
+            if name in RAW:  # inside raw text only its end tag counts
+                found = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(source, at)
+                at = found.end() if found else len(source)
+            elif name not in VOID and not match[3].endswith("/"):
                 open_.append(len(self.name) - 1)
-        if skip is None and at < len(source):
-            self.texts.append((open_[-1], block, source[at:]))
+                names[name] += 1
 
-    def features(self) -> list[str]:
-        size = [0] * len(self.name)
+    def describe(self) -> None:
+        """Kinds, positions, and features of the nodes."""
+        n = len(self.name)
+        size, linked, total = [0] * n, [0] * n, [0] * n
         for node, _, text in self.texts:
             size[node] += len(text.strip())
-        return [
-            f"{'main' if n in MAIN else 'hidden' if n in HIDDEN else 'li' if n in ('li', 'ul', 'ol', 'a') else 'other'}"
-            f":{'boiler' if BOILER.search(c) else ''}:{min(3, s.bit_length() // 3)}"
-            for n, c, s in zip(self.name, self.clue, size, strict=True)
-        ]
-
-    def labels(self) -> list[int] | None:
-        if not MAIN & set(self.name):
-            return None
+        in_link = [False] * n
+        self.kind, self.position = ["other"] * n, [""] * n
+        mains = not MAIN.isdisjoint(self.name)
+        for i in range(1, n):
+            name, above = self.name[i], self.position[self.parent[i]]
+            in_link[i] = name == "a" or in_link[self.parent[i]]
+            if name in MAIN:
+                self.kind[i] = "main"
+            elif name in ASIDE or (name == "header" and above != "main") or any(map(marks_boilerplate, self.tokens[i])):
+                self.kind[i] = "aside"
+            if self.kind[i] != "other":
+                self.position[i] = self.kind[i]
+            else:
+                self.position[i] = above or ("outside" if mains else "")
+        for i in range(n - 1, 0, -1):
+            total[i] += size[i]
+            linked[i] += size[i] if in_link[i] else 0
+            total[self.parent[i]] += total[i]
+            linked[self.parent[i]] += linked[i]
+        self.features = [
+            (
+                ("position", self.position[i]), ("name", self.name[i]), ("size", str(min(3, size[i].bit_length() // 3))),
+                ("links", str(2 * linked[i] // total[i] if total[i] else 0)), *(("token", t) for t in self.tokens[i]),
+            )
+            for i in range(1, n)
+        ]
+
+    def labels(self) -> list[int]:
+        """1 inside an article or main element, 0 outside."""
         state = [0] * len(self.name)
         for i in range(1, len(state)):
-            out = self.name[i] in HIDDEN or bool(BOILER.search(self.clue[i]))
-            state[i] = 0 if out else int(self.name[i] in MAIN or state[self.parent[i]])
+            state[i] = int(self.name[i] in MAIN or state[self.parent[i]])
         return state
 
 
-def count_factors(pages: list[str]) -> dict:
-    nodes, pairs = {}, {k: np.array([[0.5, 0.01], [0.5, 0.5]]) for k in KINDS}
+def count_pages(pages: list[str]) -> Counter:
+    """Sightings of (group, key, state) on labelled pages; a pair's key holds its parent's state and its kind."""
+    counts: Counter = Counter()
     for source in pages:
         page = Page(source)
+        page.describe()
         state = page.labels()
-        if state is None:
-            continue
-        for i, f in enumerate(page.features()):
-            nodes.setdefault(f, [0.1, 0.1])[state[i]] += 1
-            if i:
-                pairs[f.split(":")[0]][state[page.parent[i]], state[i]] += 1
-    return {"nodes": nodes, "pairs": {k: (p / p.sum(axis=1, keepdims=True)).tolist() for k, p in pairs.items()}}
-
-
-def node_factor(model: dict, feature: str) -> tuple[float, float]:
-    kind, clue, _ = feature.split(":")
-    if kind == "hidden" or clue:
-        return 1 - 1e-9, 1e-9
-    if kind == "main":
-        return 1e-9, 1 - 1e-9
-    found = model["nodes"].get(feature)
-    total = sum(found) if found else 0
-    return ((found[0] + 1) / (total + 2), (found[1] + 1) / (total + 2)) if found else (0.5, 0.5)
+        for i in range(1, len(state)):
+            counts["pair", f"{state[page.parent[i]]}{page.kind[i]}", state[i]] += 1
+            for group, key in page.features[i - 1]:
+                counts[group, key, state[i]] += 1
+    return counts
+
+
+def make_model(counts: dict) -> dict:
+    """Log likelihood ratios by feature, and pair factors (p00, p01, p10, p11) by kind."""
+    counts = Counter(counts)
+    pairs = {}
+    for kind, start in PAIR_START.items():
+        rows = []
+        for above in (0, 1):
+            seen = [start[above][s] + counts["pair", f"{above}{kind}", s] for s in (0, 1)]
+            rows += [(1 - PAIR_MIX) * x / sum(seen) + PAIR_MIX / 2 for x in seen]
+        pairs[kind] = tuple(rows)
+    for (group, key), start in START.items():
+        for s in (0, 1):
+            counts[group, key, s] += start[s]
+    nodes = {}
+    for group, mix in MIX.items():
+        keys = {k for g, k, _ in counts if g == group and k}
+        whole = [max(sum(counts[group, k, s] for k in keys), 1) for s in (0, 1)]
+        for key in keys:
+            out, in_ = ((counts[group, key, s] + 0.1) / (whole[s] + 0.1 * len(keys)) for s in (0, 1))
+            share = (1 - mix) * in_ / (in_ + out) + mix / 2
+            nodes[group, key] = math.log(share / (1 - share))
+    return {"nodes": nodes, "pairs": pairs}
+
+
+def _odds(log: float) -> float:
+    return math.exp(min(max(log, -300.0), 300.0))
 
 
 def marginals(page: Page, model: dict) -> list[float]:
-    """Content marginals by messages up to the root and down again; parents come before children."""
-    parent, features = page.parent, page.features()
-    pairs = [model["pairs"][f.split(":")[0]] for f in features]
-    local = [node_factor(model, f) for f in features]
-    up = [list(x) for x in local]
-    sent: list[tuple[float, float]] = [(1.0, 1.0)] * len(parent)
+    """Log odds of content by messages up to the root and down again; parents come before children."""
+    page.describe()
+    parent, nodes = page.parent, model["nodes"]
+    up = [0.0] + [sum(nodes.get(f, 0.0) for f in features) for features in page.features]
+    pairs = [model["pairs"][k] for k in page.kind]
+    sent = [0.0] * len(parent)
     for i in range(len(parent) - 1, 0, -1):
-        a, b = up[i]
-        pair = pairs[i]
-        m0, m1 = pair[0][0] * a + pair[0][1] * b, pair[1][0] * a + pair[1][1] * b
-        total = m0 + m1
-        sent[i] = (m0 / total, m1 / total)
-        above = up[parent[i]]
-        # A node has many children of one kind; their joint say is tempered, or the longest list would decide.
-        above[0] *= sent[i][0] ** 0.1
-        above[1] *= sent[i][1] ** 0.1
-        total = above[0] + above[1]
-        above[0], above[1] = above[0] / total, above[1] / total
-    belief = [tuple(up[0])] * len(parent)
+        p00, p01, p10, p11 = pairs[i]
+        odds = _odds(up[i])
+        sent[i] = math.log((p10 + p11 * odds) / (p00 + p01 * odds))
+        up[parent[i]] += sent[i]
+    belief = up
     for i in range(1, len(parent)):
-        p0, p1 = belief[parent[i]]
-        p0, p1 = p0 / max(sent[i][0] ** 0.1, 1e-12), p1 / max(sent[i][1] ** 0.1, 1e-12)
-        pair = pairs[i]
-        b0, b1 = up[i][0] * (p0 * pair[0][0] + p1 * pair[1][0]), up[i][1] * (p0 * pair[0][1] + p1 * pair[1][1])
-        total = b0 + b1
-        belief[i] = (b0 / total, b1 / total)
-    return [b / (a + b) for a, b in belief]
+        p00, p01, p10, p11 = pairs[i]
+        odds = _odds(belief[parent[i]] - sent[i])
+        belief[i] += math.log((p01 + p11 * odds) / (p00 + p10 * odds))
+    return belief
 
 
 def main_text(source: str | None, model: dict) -> str:
@@ -164,26 +218,35 @@ def main_text(source: str | None, model: dict) -> str:
     content = marginals(page, model)
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.texts:
-        if content[node] > 0.5:
+        if content[node] > 0:
             blocks.setdefault(block, []).append(text)
     cleaned = (SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in blocks.values())
     return "\n".join(b for b in cleaned if b)
 
 
 def fit_extractor(pages: DataFrame, rows: int = TRAIN_PAGES) -> dict:
-    """Factors from at most ``rows`` pages that hold an article or main element, picked by hash; counted in one task."""
-    picked = (
-        pages.filter(F.lower("html").rlike("<(article|main)\\b"))
-        .select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(rows).select("html")
-    )
+    """Factors from at most ``rows`` different pages that hold an article or main element.
 
-    def train(frame):
-        import pandas as pd
+    The pages are picked by hash; only hashes leave the scan. They are counted where they lie, and counts are added.
+    """
+    marked = pages.filter(F.lower("html").rlike("<(article|main)\\b")).select("html", F.xxhash64("html").alias("h"))
+    picked = marked.select("h").distinct().orderBy("h").limit(rows)
+    texts = marked.join(F.broadcast(picked), "h").groupBy("h").agg(F.first("html").alias("html")).select("html")
 
-        return pd.DataFrame({"m": [pickle.dumps(count_factors(frame["html"].tolist()))]})
+    def count(batches):
+        for batch in batches:
+            found = count_pages(batch.column(0).to_pylist())
+            keys = list(found)
+            columns = [[k[j] for k in keys] for j in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
+                 pa.array([found[k] for k in keys], pa.int64())], names=["part", "key", "state", "n"],
+            )
 
-    found = picked.groupBy(F.lit(0).alias("g")).applyInPandas(train, "m binary").collect()
-    return pickle.loads(bytes(found[0][0])) if found else count_factors([])
+    counts = texts.mapInArrow(count, "part string, key string, state int, n long").groupBy("part", "key", "state").agg(F.sum("n").alias("n"))
+    # Rare names and tokens stay behind, so what is collected is bounded by the picked pages' size over TOKEN_SIGHTINGS.
+    kept = counts.filter(~F.col("part").isin("token", "name") | (F.col("n") >= TOKEN_SIGHTINGS))
+    return make_model({(r["part"], r["key"], r["state"]): r["n"] for r in kept.collect()})
 
 
 def extract_text(pages: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
