@@ -16,7 +16,8 @@ from signalcheck.operators.dbscan import EPS, MIN_SAMPLES, dbscan_noise
 from signalcheck.operators.verify import Check, check_by_overlap, incremental_verify
 from signalcheck.operators.vote import vote_anomaly
 from signalcheck.session import materialize
-from signalcheck.sources.posts import read_csv
+from signalcheck.sources.csv_ranges import read_csv_ranges
+from signalcheck.sources.posts import POST_SCHEMA
 
 
 @dataclass
@@ -182,4 +183,4 @@ def run_from_csv(spark: SparkSession, config: PipelineConfig) -> dict[str, DataF
     """``run`` on the post CSV named in the configuration."""
     if config.data_source is None:
         raise ValueError("data_source names the CSV to read")
-    return run(read_csv(spark, config.data_source), config)
+    return run(read_csv_ranges(spark, config.data_source, POST_SCHEMA), config)

@@ -21,6 +21,7 @@ from signalcheck.operators.quantile import flag_above_quantile
 from signalcheck.plans import feedback, pipeline
 from signalcheck.session import materialize, new_table_path
 from signalcheck.sources import posts, verdicts
+from signalcheck.sources.csv_ranges import read_csv_ranges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,6 +187,16 @@ def scan_csv_roundtrip(spark, folder):
     return posts.read_csv(spark, path, documents.schema)
 
 
+@query("""SELECT doc_id, text || chr(10) || '"' || source || '",' AS text, lang FROM documents""")
+def scan_csv_ranges(spark, folder):
+    """Texts with line breaks and quotes, columns in another order than the schema's, read by byte ranges."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    quoted = F.concat("text", F.lit('\n"'), "source", F.lit('",')).alias("text")
+    path = new_table_path(spark, "documents-csv")
+    posts.write_csv(documents.select("source", "lang", quoted, "doc_id"), path)
+    return read_csv_ranges(spark, path, documents.drop("source").schema)
+
+
 @query(f"WITH {SQL_VERDICTS} SELECT claim, verdict FROM stated")
 def verdict_scan(spark, folder):
     path = new_table_path(spark, "verdicts")

@@ -31,8 +31,8 @@ POST_SCHEMA = T.StructType(
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = POST_SCHEMA) -> DataFrame:
     """Scan CSV with a header and a declared schema.
 
-    Post text may hold line breaks, so ``multiLine`` is on and one file is one task:
-    land large inputs as many files, or convert them to parquet once.
+    Post text may hold line breaks, so ``multiLine`` is on and one file is one task;
+    ``csv_ranges.read_csv_ranges`` cuts a large file into many.
     """
     # With a declared schema Spark checks header names only when enforceSchema is off.
     return (
