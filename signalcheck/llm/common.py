@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CACHE_ENTRIES = 600_000
+LONGEST_KEY = 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,13 +44,18 @@ def append_columns(
 
 
 class Bounded(dict):
-    """A word memory that is emptied when full; ``make`` fills a missing entry."""
+    """A word memory that is emptied when full; ``make`` fills a missing entry.
+
+    Longer keys than LONGEST_KEY are worked out anew each time, so entries bound the memory in bytes too.
+    """
 
     def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
         self.make, self.entries = make, entries
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         if len(self) >= self.entries:
             self.clear()
         value = self[key] = self.make(key)
@@ -72,6 +78,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def held_out_column(folds: int, held_out: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_out, F.lit(False))
 

@@ -1,37 +1,42 @@
-"""Quality rules: word, symbol and repetition counts, and tokeniser fertility with rejection bands per script.
+"""Quality rules: word, symbol and repetition counts, and tokeniser fertility with bands per language and script.
 
 A public vocabulary with byte fallback measures characters per token, the share of byte tokens and the token entropy
-of each text. Over all texts of a script that pass the base rules and have enough words, quartiles of the three give
-bands (quartile minus or plus a multiple of their distance); a text outside a band is rejected.
-
-A null text has no words and fails the base rules. Scripts of fewer than MIN_TEXTS texts have no band. Repeated rows
-count as often as they occur; an empty table gives an empty result.
+of each text. Texts form groups by the column ``lang`` (null: ``und``; without the column: all) and the script of most
+of their letters, whatever script that is. Over all texts of a group that pass the base rules, exact quartiles of the
+measures, rounded to 1/1000, give bands: quartile minus or plus a multiple of their distance and a slack. The multiple
+is ``reach * (1 + DOUBT / n)`` for n texts, so few texts give wide bands and a lone text always lies within its own.
+A text outside a band is rejected.
+
+A null text has no words and fails the base rules. Repeated rows count as often as they occur, so ties share a verdict;
+an empty table gives an empty result. Columns named like the measures are replaced; others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 from itertools import compress
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalcheck.llm.common import Bounded, append_columns, table
+from signalcheck.llm.common import Bounded, append_columns, free_name, table
+from signalcheck.plans.skew import BROADCAST_ROWS, lookup
 from signalcheck.session import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 8
 MIN_WORDS = 20
-MIN_TEXTS = 30
 REACH = 3.0
+DOUBT = 30
 SYMBOLS = b"#*$%&|<>"
-SCRIPTS = (("latin", "A-Za-zÀ-ɏ"), ("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"), ("arabic", "؀-ۿ"), ("hebrew", "֐-׿"),
-           ("devanagari", "ऀ-ॿ"), ("kana", "぀-ヿ"), ("han", "一-鿿"), ("hangul", "가-힯"))
-_script_patterns = [(name, re.compile(f"[{span}]+")) for name, span in SCRIPTS]
+#: Unicode names of characters start with their script; these start otherwise.
+NAMED = {"cjk": "han", "hiragana": "kana", "katakana": "kana", "katakana-hiragana": "kana", "fullwidth": "latin", "halfwidth": "kana"}
 ASCII = re.compile("[\\x00-\\x7f]+")
 NO_LETTERS = bytes(c for c in range(256) if not chr(c).isalpha() or c > 127)
 _models: dict[str, Bounded] = {}
@@ -79,14 +84,24 @@ def duplicate_lines(text: str) -> int:
     return len(worded) - len(set(worded))
 
 
+@functools.lru_cache(65_536)
+def script_of(letter: str) -> str:
+    """Script of one character by its Unicode name; empty for what is no letter or vowel sign."""
+    if unicodedata.category(letter)[0] not in "LM":
+        return ""
+    first = unicodedata.name(letter, "").split(" ")[0].lower()
+    return "" if first in ("combining", "modifier", "variation") else NAMED.get(first, first)
+
+
 def script(text: str, data: bytes) -> str:
-    """The script of most letters; ``data`` is the text in UTF-8."""
+    """The script of most letters, the first by name among equals; ``data`` is the text in UTF-8."""
     if len(text) == len(data):
         return "latin"
-    rest = ASCII.sub("", text)
-    counts = {name: sum(map(len, pattern.findall(rest))) for name, pattern in _script_patterns}
-    counts["latin"] += len(data.translate(None, NO_LETTERS))
-    return max(counts, key=counts.get)
+    counts = Counter(latin=len(data.translate(None, NO_LETTERS)))
+    for letter, times in Counter(ASCII.sub("", text)).items():
+        counts[script_of(letter)] += times
+    del counts[""]
+    return min(counts, key=lambda name: (-counts[name], name))
 
 
 def measure(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
@@ -117,23 +132,60 @@ def measure(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFr
 
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
-SLACK = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.03}
+
+
+def slack(measure: str, quartile: Column) -> Column:
+    """What a text may lie beyond the reach; in proportion for characters per token, whose size differs by script."""
+    return {"chars_per_token": quartile * 0.12, "byte_share": F.lit(0.1), "entropy": F.lit(0.03)}[measure]
+
+
+def fertility_bands(measured: DataFrame, group: str, reach: float = REACH) -> DataFrame:
+    """One row per group: its number of texts, and low and high of each measure.
+
+    Rounded values are counted first: at most some twenty thousand cells a group, so no window sees more, and the
+    quartiles do not depend on how rows are partitioned.
+    """
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 3).alias("value")) for m in MEASURES])
+    cells = (
+        measured.filter(~F.col("base_failed")).select(F.col(group).alias("group"), F.inline(values)).groupBy("group", "measure", "value")
+        .agg(F.count("*").alias("n"))
+    )
+    own = Window.partitionBy("group", "measure")
+    upto = own.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(own).alias("texts"))
+
+    def quartile(m: str, share: float) -> Column:
+        return F.min(F.when((F.col("measure") == m) & (F.col("upto") >= F.col("texts") * share), F.col("value")))
+
+    cuts = [quartile(m, share).alias(f"{m}_{name}") for m in MEASURES for name, share in (("q1", 0.25), ("q3", 0.75))]
+    found = ranked.groupBy("group").agg(F.max("texts").alias("texts"), *cuts)
+    ends = []
+    for m in MEASURES:
+        q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")
+        wide = F.lit(reach) * (1 + F.lit(DOUBT) / F.col("texts")) * (q3 - q1)
+        ends += [(q1 - wide - slack(m, q1)).alias(f"{m}_low"), (q3 + wide + slack(m, q3)).alias(f"{m}_high")]
+    return found.select(F.col("group").alias(group), "texts", F.struct(*ends).alias(f"{group}_band"))
 
 
 def apply_rules(docs: DataFrame, path: str, reach: float = REACH, keep: list[str] | None = None) -> DataFrame:
-    measured = materialize(measure(docs, path, keep), "quality-measures")
+    keep = docs.columns if keep is None else keep
+    group = free_name("_group", docs)
+    language = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("all")
+    named = docs.withColumn(group, language)
+    measured = measure(named, path, [*keep, group])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed)
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]
-    passed = measured.filter(~F.col("base_failed")).groupBy("script").agg(F.count("*").alias("_n"), *quartiles)
-    bands = F.broadcast(passed.filter(F.col("_n") >= MIN_TEXTS).withColumnRenamed("script", "_script"))  # one row a script
-    joined = measured.join(bands, F.col("script") == F.col("_script"), "left")
-    outside = F.lit(False)
+    measured = measured.withColumn(group, F.concat_ws("/", group, "script")).withColumn("base_failed", failed)
+    measured = materialize(measured, "quality-measures")
+    bands = materialize(fertility_bands(measured, group, reach), "quality-bands")
+    band = f"{group}_band"
+    if bands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = measured.join(F.broadcast(bands.drop("texts")), group, "left")
+    else:
+        joined = lookup(measured, bands, group, "texts", F.monotonically_increasing_id(), "left")
+    inside = F.lit(True)
     for m in MEASURES:
-        low, high = F.col(f"q_{m}")[0], F.col(f"q_{m}")[1]
-        wide = F.lit(reach) * (high - low) + F.lit(SLACK[m])
-        outside = outside | F.coalesce((F.col(m) < low - wide) | (F.col(m) > high + wide), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~outside).drop("_script", "_n", *(f"q_{m}" for m in MEASURES))
+        inside = inside & F.coalesce(F.round(m, 3).between(F.col(band)[f"{m}_low"], F.col(band)[f"{m}_high"]), F.lit(True))
+    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop(group, band)
 
 
 def op6_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalcheck.llm.common import append_columns, table
+from signalcheck.llm.common import append_columns, free_name, table
 from signalcheck.plans.skew import lookup
 from signalcheck.session import Scratch, materialize
 
@@ -200,12 +200,6 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return lookup(prints, named, "fp", "rows", F.col("doc_id"), rows_per_task=ROWS_PER_TASK).select("doc_id", "fp", "component_id")
 
 
-def free_name(name: str, df: DataFrame) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:
     """One row of each component: that with the smallest doc_id, any one where all its doc_ids are null.
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,69 @@ def test_rules_take_odd_rows(spark, odd):
     assert rules.apply_rules(odd.limit(0), path).count() == 0
 
 
+CLEAN = {
+    "thai": "ประเทศไทยมีอาหารอร่อย และ ผู้คน ใจดี มาก วันนี้ อากาศ ร้อน เด็ก ๆ เล่น น้ำ ที่ สวน ใกล้ บ้าน ของ ยาย แล้ว กลับ มา กิน ข้าว เย็น ด้วยกัน",
+    "bengali": "আজ সকালে আমরা নদীর ধারে হাঁটতে গিয়েছিলাম এবং অনেক পাখি দেখেছি তারপর বাজার থেকে মাছ ও সবজি কিনে বাড়ি ফিরে রান্না করেছি সবাই খুশি ছিল",
+    "tamil": "இன்று காலை நாங்கள் கடற்கரைக்கு சென்றோம் அங்கே பல மக்கள் இருந்தனர் பின்னர் வீட்டிற்கு வந்து உணவு சமைத்து சாப்பிட்டோம் மாலை மழை பெய்தது நாங்கள் கதை படித்து தூங்கினோம் எல்லோரும் மகிழ்ச்சி நன்றி வணக்கம் மீண்டும் நாளை",
+    "georgian": "დღეს დილით ჩვენ მდინარის პირას ვისეირნეთ და ბევრი ჩიტი ვნახეთ შემდეგ ბაზარში თევზი და ბოსტნეული ვიყიდეთ სახლში დავბრუნდით და ერთად ვივახშმეთ ყველა ბედნიერი იყო",
+    "armenian": "Այսօր առավոտյան մենք քայլեցինք գետի ափով և տեսանք շատ թռչուններ հետո շուկայից ձուկ ու բանջարեղեն գնեցինք վերադարձանք տուն և միասին ընթրեցինք բոլորը ուրախ էին շատ",
+    "ethiopic": "ዛሬ ጠዋት ወደ ወንዝ ሄድን ብዙ ወፎች አየን ከዚያ ገበያ ሄደን ዓሣ እና አትክልት ገዛን ወደ ቤት ተመለስን እና አብረን እራት በላን ሁሉም ደስተኛ ነበሩ ነገ እንደገና እንሄዳለን",
+    "cyrillic": "Сегодня утром мы гуляли по берегу реки и видели много птиц потом купили рыбу и овощи на рынке вернулись домой и вместе поужинали все были очень рады",
+}
+
+
+def test_bands_keep_every_script_and_reject_garbled_words(spark, folder):
+    random = np.random.default_rng(3)
+    consonants = list("bcdfghjklmnpqrstvwxz")
+    garbled = [" ".join("".join(random.choice(consonants, random.integers(3, 10))) for _ in range(80)) for _ in range(20)]
+    rows = [(1_000_000 + i, "en", t) for i, t in enumerate(garbled)]
+    rows += [(2_000_000 + i, None, t + " " + " ".join(t.split()[:k])) for i, t in enumerate(CLEAN.values()) for k in range(5)]
+    extra = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("_group", F.lit("x"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text").withColumn("_group", F.lit("y"))
+    both = docs.unionByName(extra)
+    result = rules.apply_rules(both, public_tokenizers.path(rules.VOCABULARY))
+    assert set(both.columns) <= set(result.columns)
+    found = result.collect()
+    assert not any(r.kept for r in found if 1_000_000 <= r.doc_id < 2_000_000)
+    for i, name in enumerate(CLEAN):
+        own = [r for r in found if r.doc_id == 2_000_000 + i]
+        assert len(own) == 5 and all(r.script == name and r.kept == (not r.base_failed) for r in own)
+        assert any(r.kept for r in own)
+    plain = [r for r in found if r.doc_id < 1_000_000 and not r.base_failed]
+    assert sum(r.kept for r in plain) >= 0.99 * len(plain)
+
+
+def test_bands_are_quartiles_of_the_whole_group(spark):
+    values = [(f"g{i % 2}", x / 1000, 0.0, 0.5, False) for i, x in enumerate(range(1_000, 1_400))] + [("g0", 9.0, 0.0, 0.5, True)]
+    schema = "g string, chars_per_token double, byte_share double, entropy double, base_failed boolean"
+    for parts in (1, 7):
+        bands = rules.fertility_bands(spark.createDataFrame(values, schema).repartition(parts), "g").orderBy("g").collect()
+        for g, row in enumerate(bands):
+            own = sorted(v[1] for v in values if v[0] == f"g{g}" and not v[4])
+            low, high = own[49], own[149]
+            wide = rules.REACH * (1 + rules.DOUBT / 200) * (high - low)
+            assert row.texts == 200
+            assert row.g_band.chars_per_token_low == pytest.approx(low * 0.88 - wide)
+            assert row.g_band.chars_per_token_high == pytest.approx(high * 1.12 + wide)
+
+
+def test_quality_scores_are_calibrated_sparse_products(spark):
+    """Held-out rows of the lesser class are found at the contract's cut, and scores are the plain product."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    weights = quality.fit_quality(docs, labels)
+    rows = quality.score_quality(docs, weights, ["doc_id", "text"]).join(labels, "doc_id").filter("pmod(crc32(string(doc_id)), 5) = 0").collect()
+    low, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1]
+    assert sum(r.score < 0.3 for r in low) >= 0.8 * len(low) and sum(r.score >= 0.3 for r in good) >= 0.98 * len(good)
+    for r in rows[:50]:
+        words = re.findall(r"\w+|[^\w\s]+", r.text or "")
+        codes = [zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 for w in words]
+        pairs = [a + zlib.crc32(w.encode()) * 0xC2B2AE3D27D4EB4F for a, w in zip(codes, words[1:], strict=False)]
+        slots = {(c % 2**64) >> (64 - quality.BITS) for c in codes + pairs}
+        margin = sum(weights[s] for s in slots) / max(len(slots), 1) ** 0.5 + weights[-1]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 def brute_components(prints):
     parent = {p: p for p in prints}
 
