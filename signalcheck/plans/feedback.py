@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalcheck.operators.autoencoder import Autoencoder, autoencoder_anomaly, vector_width
+from signalcheck.operators.autoencoder import Autoencoder, autoencoder_anomaly, load_autoencoders, save_autoencoders, vector_width
 from signalcheck.operators.features import MODEL_WIDTH, fold_vectors
 from signalcheck.operators.verify import VERDICT_LABELS, attach_verdicts
 from signalcheck.operators.vote import accuracy, fit_three, with_bayes_input
@@ -92,13 +92,20 @@ def update_system(
     key: str,
     models: Mapping[str, Autoencoder] | None = None,
     max_iter: int = 20,
+    model_path: str | None = None,
     **options,
 ) -> dict[str, object]:
-    """The whole feedback step: classifier accuracies, autoencoder flags and the autoencoders."""
+    """The whole feedback step: classifier accuracies, autoencoder flags and the autoencoders.
+
+    With ``model_path`` the autoencoders of the last step are taken up from there (``models`` come first) and stored again.
+    """
     training = materialize(training_set(verdicts, posts, features, key), "training-set")
     if training.isEmpty():
         raise ValueError("no verified post has features")
-    flags, known = refresh_autoencoders(training, key, models, **options)
+    stored = load_autoencoders(training.sparkSession, model_path) if model_path else {}
+    flags, known = refresh_autoencoders(training, key, stored | dict(models or {}), **options)
+    if model_path and any(stored.get(name) is not model for name, model in known.items()):
+        save_autoencoders(training.sparkSession, known, model_path)
     return {"hybrid": retrain_classifiers(training, key, max_iter), "autoenc": flags, "models": known}
 
 
