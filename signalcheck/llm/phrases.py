@@ -33,7 +33,7 @@ MOST_WORDS = 3
 FIRST = 2000
 #: A longer candidate with this share (in percent) of the occurrences of one that it holds replaces it.
 COVERED = 50
-TRIE_KEYS = 600_000
+TRIE_KEYS = 400_000
 #: Bytes of text, numbers of words, and different phrases that a task works on at once.
 WINDOW_BYTES = 2_000_000
 WINDOW_WORDS = 250_000
@@ -69,6 +69,17 @@ def arrays_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(1, np.uint8), limits
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows, so that one holds about WINDOW_BYTES of the column, or a single longer row."""
+    for batch in batches:
+        _, limits = arrays_of(batch, name)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(limits, limits[lo] + WINDOW_BYTES, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def read_window(data: np.ndarray, lo: int, hi: int, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of ``data[lo:hi]``, and places of the piece ends."""
     kind = KIND[data[lo:hi]]
@@ -119,9 +130,7 @@ def encode(docs: DataFrame, shared, keep: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, trie = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_parts(batches, "text"):
             data, limits = arrays_of(batch, "text")
             langs = language_states(trie, batch.column(batch.schema.get_field_index("lang")).to_pylist())
             row_starts = limits[:-1][limits[:-1] < limits[1:]]
@@ -146,8 +155,8 @@ def encode(docs: DataFrame, shared, keep: bool) -> DataFrame:
             number = np.insert(number, new, BREAK)
             row = np.insert(row, new, row[new])
             if again:
-                old, _ = arrays_of(batch, "numbers")
-                number = np.maximum(number, np.frombuffer(old.tobytes(), np.int32)[: len(number)])
+                old, ends = arrays_of(batch, "numbers")
+                number = np.maximum(number, np.frombuffer(old[ends[0] : ends[-1]].tobytes(), np.int32))
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)) * 4
             column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(number.tobytes())]).cast(pa.binary())
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("lang", "text")] if keep else []
@@ -176,9 +185,7 @@ def walk(trie: double_array.Trie, width: int, length: int, numbers: np.ndarray)
 
 def pieces_of(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[np.ndarray]:
     """The numbers of several texts with a BREAK after each, in windows that share ``overlap`` words."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in in_parts(batches, "numbers"):
         data, limits = arrays_of(batch, "numbers")
         numbers = np.frombuffer(data[limits[0] : limits[-1]].tobytes(), np.int32)
         numbers = np.insert(numbers, (limits[1:] - limits[0]) // 4, BREAK)
