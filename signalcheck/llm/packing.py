@@ -30,7 +30,6 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 BLOCK_PIECES = 4_000
-UNDERFULL = 200
 #: Every pattern of the vocabulary stops at white space, so what stands between is encoded by itself.
 CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _BYTES = byte_letters()
@@ -111,48 +110,56 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search: the emptiest bin gives pieces to others, or swaps them, while squared fill grows."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
+    """Local search: the emptiest bin gives pieces to others, or swaps them, while squared fill grows.
 
-    def gain(a: int, b: int, delta: int) -> bool:
-        """Whether moving ``delta`` tokens net from bin a to bin b raises squared fill and fits."""
-        return delta > 0 and fill[b] + delta <= capacity and delta + fill[b] - fill[a] > 0
-
-    def apply(a: int, b: int, out: tuple, back: tuple, delta: int) -> None:
+    Every underfull bin gives, and every bin with room takes; one look covers all pieces of the block.
+    """
+    bins = [list(b) for b in bins]
+    size = np.array(lengths, np.int64)
+    home = np.zeros(len(size), np.int64)
+    for b, members in enumerate(bins):
+        home[members] = b
+    fill = np.bincount(home, size, len(bins)).astype(np.int64)
+    full = np.iinfo(np.int64).max
+    waiting = np.where(fill < capacity, fill, full)  # fill of the bins that may still give
+
+    def exchange(a: int) -> tuple[tuple, tuple, int] | None:
+        """Pieces out of bin a, pieces back, and the bin they go to: the fullest that takes any."""
+        mine = bins[a]
+        outs = [(i,) for i in mine] + [(i, k) for n, i in enumerate(mine) for k in mine[n + 1 :]]
+        sums = np.array([sum(lengths[i] for i in o) for o in outs])
+        # Squared fill grows when the taker ends fuller than the giver was.
+        whole = np.where((np.arange(len(bins)) != a) & (fill > 0), fill, -1)
+        best, found = -1, None
+        alone = sums[: len(mine)]
+        for n, s in enumerate(alone):
+            takes = np.where((whole + s <= capacity) & (whole + s > fill[a]), whole, -1)
+            b = int(takes.argmax())
+            if takes[b] > best:
+                best, found = takes[b], (outs[n], (), b)
+        theirs = whole[home]
+        for n, s in enumerate(sums):
+            delta = s - size
+            takes = np.where((delta > 0) & (theirs + delta <= capacity) & (theirs + delta > fill[a]), theirs, -1)
+            j = int(takes.argmax())
+            if takes[j] > best:
+                best, found = takes[j], (outs[n], (j,), int(home[j]))
+        return found
+
+    least = -(-int(size.sum()) // capacity)  # fewer bins cannot hold the pieces
+    while np.count_nonzero(fill) > least and waiting.min() < full:
+        a = int(waiting.argmin())
+        found = exchange(a)
+        if found is None:
+            waiting[a] = full  # nothing helps this bin until it changes
+            continue
+        out, back, b = found
         bins[a] = [i for i in bins[a] if i not in out] + list(back)
         bins[b] = [i for i in bins[b] if i not in back] + list(out)
-        fill[a] -= delta
-        fill[b] += delta
-
-    def step(a: int, others: list[int]) -> bool:
-        mine = bins[a]
-        for b in others:
-            for i in mine:
-                if gain(a, b, lengths[i]):
-                    apply(a, b, (i,), (), lengths[i])
-                    return True
-            for i in mine:
-                for j in bins[b]:
-                    if gain(a, b, lengths[i] - lengths[j]):
-                        apply(a, b, (i,), (j,), lengths[i] - lengths[j])
-                        return True
-            for n, i in enumerate(mine):
-                for k in mine[n + 1 :]:
-                    for j in bins[b]:
-                        delta = lengths[i] + lengths[k] - lengths[j]
-                        if gain(a, b, delta):
-                            apply(a, b, (i, k), (j,), delta)
-                            return True
-        return False
-
-    under = [b for b in range(len(bins)) if fill[b] < capacity]
-    under = sorted(under, key=lambda b: fill[b])[:UNDERFULL]  # the search space; every bin stays in the result
-    while len(under) > 1:
-        under.sort(key=lambda b: (fill[b], b))
-        a = under[0]
-        if not step(a, under[:0:-1]):
-            under.pop(0)  # nothing helps this bin any more
-        under = [b for b in under if 0 < fill[b] < capacity]
+        home[list(out)], home[list(back)] = b, a
+        for c in (a, b):
+            fill[c] = sum(lengths[i] for i in bins[c])
+            waiting[c] = fill[c] if 0 < fill[c] < capacity else full
     return [b for b in bins if b]
 
 
