@@ -35,9 +35,13 @@ def training_set(verdicts: DataFrame, posts: DataFrame, features: DataFrame, key
 
     ``posts`` holds ``key`` and ``claim``; ``features`` holds ``key`` and ``feature_name``.
     """
+    return features.join(training_labels(verdicts, posts, key), key)
+
+
+def training_labels(verdicts: DataFrame, posts: DataFrame, key: str) -> DataFrame:
+    """``(key, label)`` of every verified post, once for each of its verdicts: features of other posts need not be built."""
     stated = attach_verdicts(posts.select(key, "claim"), verdicts, key, "inner", every=True)
-    labels = label_verdicts(stated).select(key, "label")
-    return features.join(labels, key)
+    return label_verdicts(stated).select(key, "label")
 
 
 def at_model_width(rows: DataFrame, key: str, width: int = MODEL_WIDTH) -> DataFrame:
