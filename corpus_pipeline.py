@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalcheck.llm.common import table
-from signalcheck.llm.decontaminate import load_windows, remove_passages
+from signalcheck.llm.decontaminate import remove_benchmark
 from signalcheck.llm.packing import pack_documents
 from signalcheck.llm.pii import sanitise
 from signalcheck.llm.simhash import keep_first
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return remove_passages(docs, load_windows(table(spark, sf_dir, "benchmark")))
+    return remove_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

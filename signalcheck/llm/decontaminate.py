@@ -5,12 +5,16 @@ shorter than the shortest window cannot hold one and stay out of the index. The
 transform of the shard behind a wavelet matrix with rank counts; windows are found by backward search, located by
 walking to sampled suffix positions, and their spans merged per document.
 
+A benchmark of more bytes than one task should hold is searched part by part, and the hits of a document are put
+together afterwards: the same result, with one pass over the documents per part.
+
 Null and empty texts have no words. Rows are searched one by one, so ties and repeated rows change nothing; empty
 tables on either side give zero hits.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -18,11 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalcheck.llm.common import append_columns, table
+from signalcheck.llm.common import append_columns, free_name, table
+from signalcheck.session import Scratch, materialize
 
 WINDOW = 10
 SAMPLING = 8
-MAX_ITEM_BYTES = 64 << 20
+#: Bytes of benchmark items that one pass searches for.
+PART_BYTES = 8 << 20
 _letters = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -171,29 +177,88 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def load_windows(benchmark: DataFrame) -> Windows:
-    """The windows on the driver, after a check of the benchmark's bytes: it is a test set, not a corpus."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark holds {total} bytes, over {MAX_ITEM_BYTES}; search it in parts")
-    return Windows([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()])
+def benchmark_parts(benchmark: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """The items in parts by hash, each of about ``most`` bytes at most; an item stays whole."""
+    most = most or PART_BYTES
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    size = F.octet_length("text")
+    total, largest = items.agg(F.sum(size), F.max(size)).first()
+    count = -(-(total or 0) // most)
+    if count <= 1:
+        return [items]
+    items = items.distinct()  # equal rows have equal hashes
+    while True:
+        part = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(count))
+        if items.groupBy(part.alias("part")).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] <= most + largest:
+            return [items.filter(part == i) for i in range(count)]
+        count *= 2
+
+
+def load_windows(part: DataFrame) -> Windows:
+    """The windows of one part on the driver, which hands them to the tasks."""
+    return Windows([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
 
 
 def search_documents(docs: DataFrame, windows: Windows, keep: list[str] | None = None) -> DataFrame:
     def compute(texts):
         words = [words_of(t) for t in texts]
-        hit, items, digest, spans = [], [], [], []
-        for found in find(words, windows):
-            own = sorted({i for _, _, w in found for i in windows.owners[w]})
-            cut = merged(found)
-            spans.append([{"first": a, "end": b} for a, b in cut])
-            hit.append(sum(b - a for a, b in cut))
-            items.append(len(own))
-            digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-        return [[len(w) for w in words], hit, items, digest, spans]
+        found = find(words, windows)
+        items = [{i for _, _, w in f for i in windows.owners[w]} for f in found]
+        return [[len(w) for w in words], *told(items, found)]
+
+    return append_columns(docs, ["text"], f"n_words long, {TOLD}", compute, keep)
+
+
+TOLD = "n_hit long, n_items long, items_sha256 string, hit_spans array<struct<first:long,end:long>>"
+
+
+def told(items: list[set[str]], found: list[list[tuple]]) -> list[list]:
+    """The columns of TOLD from the items and the spans of each text."""
+    cuts = [merged(f) for f in found]
+    digests = [hashlib.sha256(",".join(sorted(own)).encode()).hexdigest() for own in items]
+    spans = [[{"first": a, "end": b} for a, b in cut] for cut in cuts]
+    return [[sum(b - a for a, b in cut) for cut in cuts], [len(own) for own in items], digests, spans]
 
-    ddl = "n_words long, n_hit long, n_items long, items_sha256 string, hit_spans array<struct<first:long,end:long>>"
-    return append_columns(docs, ["text"], ddl, compute, keep)
+
+def part_hits(docs: DataFrame, row: str, parts: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``row`` and the columns of TOLD of every document with a hit, from one pass over the documents per part."""
+    hits = []
+    for part in parts:
+        windows = load_windows(part)
+
+        def compute(texts, windows=windows):
+            found = find([words_of(t) for t in texts], windows)
+            items = [sorted({i for _, _, w in f for i in windows.owners[w]}) for f in found]
+            return [items, [[{"first": a, "end": b} for a, b in merged(f)] for f in found]]
+
+        hit = append_columns(docs, ["text"], "items array<string>, spans array<struct<first:long,end:long>>", compute, [row])
+        hits.append(scratch.materialize(hit.filter(F.size("items") > 0), "part-hits"))
+    both = functools.reduce(DataFrame.union, hits).groupBy(row)
+    both = both.agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def join(items, spans):
+        return told([set(own) for own in items], [[(x["first"], x["end"], 0) for x in own] for own in spans])
+
+    return append_columns(both, ["items", "spans"], TOLD, join, [row])
+
+
+def search_benchmark(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``search_documents`` for all items, however many."""
+    parts = benchmark_parts(benchmark)
+    if len(parts) == 1:
+        return search_documents(docs, load_windows(parts[0]), keep)
+    row = free_name("_row", docs)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "n_items", "items_sha256", "hit_spans")]
+    with Scratch(docs.sparkSession) as scratch:
+        # Writing the rows fixes their numbers.
+        numbered = scratch.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+        counted = append_columns(numbered, ["text"], "n_words long", lambda texts: [[len(words_of(t)) for t in texts]], [*kept, row])
+        found = counted.join(part_hits(numbered, row, parts, scratch), row, "left")
+        nothing = hashlib.sha256(b"").hexdigest()
+        spans = F.coalesce("hit_spans", F.array().cast("array<struct<first:bigint,end:bigint>>")).alias("hit_spans")
+        count = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")]
+        digest = F.coalesce("items_sha256", F.lit(nothing)).alias("items_sha256")
+        return materialize(found.select(*kept, "n_words", *count, digest, spans), "benchmark-hits")
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -231,7 +296,40 @@ def remove_passages(docs: DataFrame, windows: Windows) -> DataFrame:
     return cut.filter(~F.col("_gone")).select(*columns)
 
 
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``remove_passages`` for all items, however many: documents with hits are cut and searched again in rounds."""
+    parts = benchmark_parts(benchmark)
+    if len(parts) == 1:
+        return remove_passages(docs, load_windows(parts[0]))
+    row = free_name("_row", docs)
+    with Scratch(docs.sparkSession) as scratch:
+        numbered = scratch.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+        open_, clean, changed = numbered.select(row, "text"), [], None
+        while True:
+            hits = scratch.materialize(part_hits(open_, row, parts, scratch).select(row, "hit_spans"), "passages")
+            if changed is not None:
+                clean.append(open_.join(hits, row, "left_anti"))
+            if hits.isEmpty():
+                break
+
+            def cut(texts, spans):
+                return [[cut_text(t, [(x["first"], x["end"]) for x in own]) for t, own in zip(texts, spans, strict=True)]]
+
+            found = open_.withColumnRenamed("text", "_whole").join(hits, row)
+            changed = open_ = scratch.materialize(append_columns(found, ["_whole", "hit_spans"], "text string", cut, [row]), "cut-texts")
+        if changed is None:
+            return materialize(numbered.select(*docs.columns), "clean-documents")
+        gone = lambda texts: [[not WORD.search(t) for t in texts]]
+        new, left, out = (free_name(c, docs) for c in ("_new", "_gone", "_text"))
+        cuts = append_columns(functools.reduce(DataFrame.union, clean), ["text"], f"{left} boolean", gone, [row, "text"])
+        cuts = cuts.withColumnRenamed("text", out).withColumn(new, F.lit(True))
+        both = numbered.join(cuts, row, "left").filter(~F.coalesce(left, F.lit(False)))
+        values = {"text": F.when(F.col(new), F.col(out)).otherwise(F.col("text"))}
+        if "n_chars" in docs.columns:
+            values["n_chars"] = F.when(F.col(new), F.length(out).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        return materialize(both.select(*(values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)), "clean-documents")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    windows = load_windows(table(spark, folder, "benchmark"))
-    found = search_documents(table(spark, folder, "documents"), windows, ["doc_id"])
+    found = search_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
     return found.drop("hit_spans").withColumn("contaminated", F.col("n_hit") > 0)
